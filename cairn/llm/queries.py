@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import exact_dedup, quality_rules
+from cairn.llm import exact_dedup, packing, quality_rules, token_files
 from cairn.llm.common import table
 
 QUERIES = {
+    "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality_rules.judged(table(spark, d, "documents")),
+    "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
