@@ -52,16 +52,21 @@ def re_pair(ids: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray,
         counts = np.bincount(slots, minlength=1 << _HASH_BITS)
         top = np.argpartition(counts, -PAIRS)[-PAIRS:]
         top = top[counts[top] >= OFTEN]
-        hot = np.zeros(1 << _HASH_BITS, bool)
-        hot[top] = True
-        at = np.flatnonzero(hot[slots] & (left != END) & (right != END))
-        pairs, inverse, often = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
-        chosen = often >= OFTEN
+        rank = np.full(1 << _HASH_BITS, -1, np.int32)
+        rank[top] = np.arange(len(top), dtype=np.int32)
+        which = rank[slots]
+        at = np.flatnonzero((which >= 0) & (left != END) & (right != END))
+        which, key = which[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+        pairs = np.zeros(len(top), np.uint64)
+        pairs[which] = key  # one pair stands for its slot; another one in it waits for a later round
+        use = pairs[which] == key
+        at, which = at[use], which[use]
+        chosen = np.bincount(which, minlength=len(top)) >= OFTEN
         if not chosen.any():
             break
         number = np.cumsum(chosen) - 1 + n_rules
-        use = chosen[inverse]
-        at, symbol = at[use], (number[inverse][use] + base).astype(np.uint32)
+        use = chosen[which]
+        at, symbol = at[use], (number[which[use]] + base).astype(np.uint32)
         # of overlapping places every other one is replaced, from the left
         fresh = np.concatenate(([True], np.diff(at) > 1))
         begin = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
