@@ -64,7 +64,7 @@ class Index:
 
     def scan(self, words: list[bytes], present: set[bytes]) -> tuple[set[str], float]:
         """(labels, best share of a notice's weight) of a text."""
-        rare = sorted(present, key=lambda w: (-self.idf.get(w, 1.0), w))[:RARE]
+        rare = sorted(present & self.postings.keys(), key=lambda w: (-self.idf.get(w, 1.0), w))[:RARE]
         wanted, votes = set(rare), defaultdict(float)
         for at, w in enumerate(words):
             if w in wanted:
@@ -113,7 +113,7 @@ def _scan(idf: dict[bytes, float]):
 
     def run(batches):
         index = Index(idf)
-        vocabulary = set(index.postings)
+        vocabulary = {*index.postings, b"reserved"}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some, out = batch.slice(at, 2048), []

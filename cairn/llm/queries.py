@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import exact_dedup, html_text, licenses, packing, pieces, quality_rules, token_files, toxicity
+from cairn.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, token_files, toxicity
 from cairn.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_quality_rules": lambda spark, d: quality_rules.judged(table(spark, d, "documents")),
     "op6_sentencepiece": lambda spark, d: pieces.piece_digests(table(spark, d, "documents")),
+    "op7_near_dedup": lambda spark, d: near_dedup.near_groups(table(spark, d, "documents"), words=4),
     "op8_license_scan": lambda spark, d: licenses.license_scan(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),

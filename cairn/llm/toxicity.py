@@ -37,7 +37,7 @@ class Model:
         self.thresholds = thresholds.tolist()
 
     @staticmethod
-    def fit(rows: list[tuple[dict[bytes, int], int]], words: list[bytes], grades: int = GRADES, penalty: float = 1e-3, steps: int = 400) -> Model:
+    def fit(rows: list[tuple[dict[bytes, int], int]], words: list[bytes], grades: int = GRADES, penalty: float = 2e-5, steps: int = 400) -> Model:
         number = {w: i for i, w in enumerate(words)}
         at, col, val = [], [], []
         for i, (counts, _) in enumerate(rows):
