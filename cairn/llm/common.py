@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, token_files, toxicity
+from cairn.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, suffix_dedup, token_files, toxicity
 from cairn.llm.common import table
 
 QUERIES = {
     "op1_html_extraction": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op2_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op3_suffix_dedup": lambda spark, d: suffix_dedup.suffix_spans(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_quality_rules": lambda spark, d: quality_rules.judged(table(spark, d, "documents")),
     "op6_sentencepiece": lambda spark, d: pieces.piece_digests(table(spark, d, "documents")),
