@@ -200,7 +200,9 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     heads = cut(heads.select(F.col("doc_id").alias("id"), "low", "bands").dropDuplicates(["id"]))
     keys = heads.select("id", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
-    edges = keys.join(shared, "bucket").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    # an id is linked to the smallest of its buckets' first ids, and those to each other once for all ids: the same components with about one edge an id
+    firsts = keys.join(shared, "bucket").groupBy("id").agg(F.min("first").alias("v"), F.collect_set("first").alias("all"))
+    edges = firsts.select(F.explode(F.array_union("all", F.array("id"))).alias("u"), "v").where("u <> v").distinct()
     groups = cut(components(cut(edges)))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").join(heads.select("id", "low"), "id")
