@@ -30,7 +30,7 @@ from cairn.llm.words import ascii_words
 SAMPLE = 20_000
 #: Words kept as features at most, and the standard deviations by which toxic texts must have them more often than all texts.
 FEATURES, TELLING = 2048, 5.0
-#: Probability of a grade over 0 from which a text counts as toxic (on held-out labels: 96 % of the toxic, 0.2 % of the clean).
+#: Probability of a grade over 0 from which a text counts as toxic.
 TOXIC = 0.3
 #: Bytes of the beginnings of words that are features, and words and features that a task remembers.
 BEGINNINGS, REMEMBERED = range(4, 10), 400_000
