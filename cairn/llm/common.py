@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
+#: The column with a row's own number.
+ROW = "_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows written and read again with a number of their own (column ROW).
+
+    Rows are told apart by it whatever their doc_id: ids may be null or repeat.
+    """
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of steps whose results are written."""
     gc.collect()

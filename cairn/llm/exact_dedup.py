@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANK, cut, text_of
+from cairn.llm.common import BLANK, ROW, cut, keyed, text_of
 
 #: Parts of a group that compare their bytes apart from each other.
 SALTS = 16
@@ -37,6 +37,25 @@ def collided(docs: DataFrame, repeated: DataFrame, text: str = "text", hash128=_
     return ends.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
 
 
+def _grouped(docs: DataFrame, text: str, hash128, ties: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Rows, their groups with the row that stays (best), those of two or more, and the columns that tell groups apart. ties: of rows with equal lengths and ids the smallest stays."""
+    tie = [c.alias(name) for name, c in ties.items()]
+    norm = docs.select("doc_id", *tie, text_of(text).alias("t"), normalised(text).alias("norm"))
+    rows = cut(norm.select("doc_id", *ties, F.char_length("t").cast("long").alias("n"), hash128(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *ties)).alias("best")
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best)
+    repeated = cut(groups.where("group_size > 1"))
+    bad = cut(collided(docs, repeated, text, hash128))
+    if bad.isEmpty():
+        return rows, groups, repeated, ["h"]
+    # different texts with one hash: these are told apart by their sha256 and bytes
+    whole = docs.select("doc_id", *tie, text_of(text).alias("t"), normalised(text).alias("norm")).withColumn("h", hash128(F.col("norm")))
+    odd = whole.join(bad, "h", "left_semi").select("doc_id", *ties, F.char_length("t").cast("long").alias("n"), "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("norm").alias("bytes"))
+    rows = rows.join(bad, "h", "left_anti").withColumn("bytes", F.lit("")).unionByName(odd)
+    groups = rows.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("group_size"), best)
+    return rows, groups, groups.where("group_size > 1"), ["h", "bytes"]
+
+
 def exact_groups(docs: DataFrame, text: str = "text", hash128=_hash128) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -45,21 +64,8 @@ def exact_groups(docs: DataFrame, text: str = "text", hash128=_hash128) -> DataF
     are one group with empty ones. Rows with the same doc_id and text share a
     verdict; a null doc_id comes last. Other columns of ``docs`` are not read.
     """
-    norm = docs.select("doc_id", text_of(text).alias("t"), normalised(text).alias("norm"))
-    rows = cut(norm.select("doc_id", F.char_length("t").cast("long").alias("n"), hash128(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    repeated = cut(groups.where("group_size > 1").select("h", "group_size", F.col("best.id").alias("keep_id")))
-    bad = cut(collided(docs, repeated, text, hash128))
-    keys = ["h"]
-    if not bad.isEmpty():  # different texts with one hash: these are told apart by their sha256 and bytes
-        keys = ["h", "bytes"]
-        whole = docs.select("doc_id", text_of(text).alias("t"), normalised(text).alias("norm")).withColumn("h", hash128(F.col("norm")))
-        odd = whole.join(bad, "h", "left_semi").select("doc_id", F.char_length("t").cast("long").alias("n"), "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("norm").alias("bytes"))
-        rows = rows.join(bad, "h", "left_anti").withColumn("bytes", F.lit("")).unionByName(odd)
-        groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-        repeated = groups.where("group_size > 1").select(*keys, "group_size", F.col("best.id").alias("keep_id"))
-    joined = rows.join(repeated, keys, "left")
+    rows, _, repeated, keys = _grouped(docs, text, hash128, {})
+    joined = rows.join(repeated.select(*keys, "group_size", F.col("best.id").alias("keep_id")), keys, "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -71,10 +77,15 @@ def exact_groups(docs: DataFrame, text: str = "text", hash128=_hash128) -> DataF
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    dropped = exact_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def exact_dedup(docs: DataFrame, hash128=_hash128) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: exactly one of each group.
+
+    The choice is that of ``exact_groups``; of rows that share the doc_id, too,
+    the one with the smallest MD5 of its text stays.
+    """
+    rows = keyed(docs)
+    _, groups, _, _ = _grouped(rows, "text", hash128, {"tie": F.unhex(F.md5(text_of("text"))), "own": F.col(ROW)})
+    return rows.join(groups.select(F.col("best.own").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 SQL = r"""

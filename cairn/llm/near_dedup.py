@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, text_of
+from cairn.llm.common import ROW, cut, keyed, text_of
 from cairn.llm.graph import components
 
 BANDS, ROWS, BITS = 40, 5, 4
@@ -220,6 +220,13 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay (the smallest doc_id of each group), with their columns."""
-    dropped = near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns: exactly one of each group.
+
+    Every row counts by itself, whatever its doc_id. The smallest doc_id stays (null
+    comes last), then the smallest MD5 of the text. A row without shingles stays.
+    """
+    rows = keyed(docs)
+    found = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", ROW)
+    best = rows.select(ROW, "doc_id", F.unhex(F.md5(text_of("text"))).alias("tie")).join(found, ROW).groupBy("component_id").agg(F.min(order).alias("best"))
+    return rows.join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)

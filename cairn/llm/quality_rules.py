@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANK, cut, text_of
+from cairn.llm.common import BLANK, ROW, cut, keyed, text_of
 
 #: Words of a repeated window.
 WINDOW = 8
@@ -142,6 +142,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    rejected = judged(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns. Every row is judged by itself, whatever its doc_id."""
+    rows = keyed(docs)
+    rejected = judged(rows.withColumn("doc_id", F.col(ROW))).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(rejected, ROW, "left_anti").select(*docs.columns)
