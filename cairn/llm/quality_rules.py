@@ -12,6 +12,8 @@ third of all rows is no heavier than the number of tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,32 @@ from cairn.llm.common import BLANK, ROW, cut, keyed, text_of
 WINDOW = 8
 #: Share of a group that the concentration steps fit on, and their number.
 H, STEPS = 0.75, 3
-#: Squared Mahalanobis distance from which a row is rejected (over 4 dimensions, chi-square has 1e-9 above 49).
-CUT = 60.0
-#: Rows below which a (language, source) group takes the estimate of all rows of its language, and below which nothing is rejected.
-SMALL, LEAST = 200, 30
+#: Share of regular rows that the cut may reject by the law of the distance.
+FALSE = 1e-6
+#: Rows that the wider estimate counts as when a group's own is drawn towards it, and sound rows of the table below which nothing is rejected.
+PRIOR, LEAST = 200, 30
 #: Standard deviation of each statistic at the least: differences below it are no sign of anything.
 FLOOR = 0.25
 STATS = ["word_length", "symbols", "dup_lines", "repeats"]
 
 
+def _beyond(x: float, p: int) -> float:
+    """Probability of more than x by the chi-square law of an even number p of dimensions."""
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(p // 2))
+
+
+def _quantile(beyond: float, p: int) -> float:
+    low, high = 0.0, 1e4
+    for _ in range(100):
+        low, high = (m, high) if _beyond(m := (low + high) / 2, p) > beyond else (low, m)
+    return low
+
+
+#: Squared distance from which a row is rejected, and what makes the covariance of the H nearest rows that of all (the determinant's consistency factor).
+CUT = _quantile(FALSE, len(STATS))
+CONSISTENT = H / (1 - _beyond(_quantile(1 - H, len(STATS)), len(STATS) + 2))
+
+
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, lang, source and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     named = {c: F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
@@ -82,20 +101,36 @@ def statistics(counts: DataFrame) -> DataFrame:
     )
 
 
+_PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+
+
 def _moments(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Mean and covariance of the rows of each group, and the factors L of covariance = L D L'."""
-    p = len(STATS)
+    """Mean (m) of the rows of each group, and covariance (c) of the group whose H nearest rows they are."""
     sums = [F.avg(c).alias(f"{tag}m{i}") for i, c in enumerate(STATS)]
-    sums += [F.covar_pop(STATS[i], STATS[j]).alias(f"{tag}c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(*sums)
-    for i in range(p):
-        for j in range(i + 1):
-            less = sum((F.col(f"{tag}l{i}{k}") * F.col(f"{tag}l{j}{k}") * F.col(f"{tag}d{k}") for k in range(j)), F.lit(0.0))
-            if i == j:
-                out = out.withColumn(f"{tag}d{i}", F.greatest(F.col(f"{tag}c{i}{i}") + F.lit(FLOOR**2) - less, F.lit(FLOOR**2)))
-            else:
-                out = out.withColumn(f"{tag}l{i}{j}", (F.col(f"{tag}c{i}{j}") - less) / F.col(f"{tag}d{j}"))
-    return out.select(*keys, *[f"{tag}m{i}" for i in range(p)], *[f"{tag}d{i}" for i in range(p)], *[f"{tag}l{i}{j}" for i in range(p) for j in range(i)])
+    sums += [(F.covar_pop(STATS[i], STATS[j]) * CONSISTENT).alias(f"{tag}c{i}{j}") for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _factored(fit: DataFrame, tag: str) -> DataFrame:
+    """The estimates with the factors L and D of covariance + FLOOR^2 = L D L'."""
+    for i, j in _PAIRS:
+        less = sum((F.col(f"{tag}l{i}{k}") * F.col(f"{tag}l{j}{k}") * F.col(f"{tag}d{k}") for k in range(j)), F.lit(0.0))
+        if i == j:
+            fit = fit.withColumn(f"{tag}d{i}", F.greatest(F.col(f"{tag}c{i}{i}") + F.lit(FLOOR**2) - less, F.lit(FLOOR**2)))
+        else:
+            fit = fit.withColumn(f"{tag}l{i}{j}", (F.col(f"{tag}c{i}{j}") - less) / F.col(f"{tag}d{j}"))
+    return fit
+
+
+def _drawn(fit: DataFrame, tag: str, wider: str) -> DataFrame:
+    """The estimates of ``tag`` (null where a group has no sound row) mixed with PRIOR rows of the wider ones."""
+    n = F.coalesce(F.col(f"{tag}n"), F.lit(0))
+    w = n / (n + F.lit(PRIOR))
+    mixed = lambda x: F.coalesce(w * F.col(tag + x) + (1 - w) * F.col(wider + x), F.col(wider + x))
+    apart = lambda i: F.coalesce(F.col(f"{tag}m{i}") - F.col(f"{wider}m{i}"), F.lit(0.0))
+    new = {f"{tag}m{i}": mixed(f"m{i}") for i in range(len(STATS))}
+    new |= {f"{tag}c{i}{j}": mixed(f"c{i}{j}") + w * (1 - w) * apart(i) * apart(j) for i, j in _PAIRS}
+    return fit.withColumns(new)
 
 
 def _distance(tag: str) -> Column:
@@ -108,16 +143,18 @@ def _distance(tag: str) -> Column:
 
 def robust_fit(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """Per group: size and the minimum-covariance-determinant estimate."""
+    # all rows and languages are few groups: sent to the rows, which then need not meet by group
+    given = F.broadcast if "source" not in keys else lambda df: df
     first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{tag}n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"_m{i}") for i, c in enumerate(STATS)])
     first = cut(first)
     near = sum((F.pow(F.col(c) - F.col(f"_m{i}"), 2) for i, c in enumerate(STATS)), F.lit(0.0))
-    scored = rows.join(first, keys).withColumn("_d", near)
+    scored = rows.join(given(first), keys).withColumn("_d", near)
     fit = None
     for _ in range(STEPS):
         edge = scored.groupBy(*keys).agg(F.percentile_approx("_d", H, 1000).alias("_edge"))
-        inner = scored.join(edge, keys).where("_d <= _edge")
+        inner = scored.join(given(edge), keys).where("_d <= _edge")
         fit = cut(_moments(inner, keys, tag))
-        scored = rows.join(fit, keys).withColumn("_d", _distance(tag))
+        scored = rows.join(given(_factored(fit, tag)), keys).withColumn("_d", _distance(tag))
     return first.select(*keys, f"{tag}n").join(fit, keys)
 
 
@@ -125,17 +162,17 @@ def judged(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts, base_failed, distance, kept.
 
     Null and empty texts have no words and fail the base rules. A null language
-    or source counts as the group ''. Rows whose group and language are both
-    below LEAST rows are judged by the base rules alone.
+    or source counts as the group ''. In a table with fewer than LEAST rows that
+    pass the base rules all are judged by these alone.
     """
     stats = statistics(text_counts(docs)).withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("source", F.coalesce("source", F.lit("")))
-    stats = cut(stats)
+    stats = cut(stats.withColumn("_all", F.lit(0)))
     sound = stats.where(~F.col("base_failed"))
-    own, wide = robust_fit(sound, ["lang", "source"], "s"), robust_fit(sound, ["lang"], "g")
-    both = stats.join(own, ["lang", "source"], "left").join(wide, ["lang"], "left")
-    d = F.when(F.col("sn") >= SMALL, _distance("s")).when(F.col("gn") >= LEAST, _distance("g"))
-    # only the junk side of the symbol, line and repeat statistics counts against a text, but the distance is the whole one
-    return both.select(
+    whole, wide, own = robust_fit(sound, ["_all"], "a"), robust_fit(sound, ["lang"], "g"), robust_fit(sound, ["lang", "source"], "s")
+    fit = stats.select("_all", "lang", "source").distinct().join(F.broadcast(whole), "_all", "left").join(F.broadcast(wide), "lang", "left").join(own, ["lang", "source"], "left")
+    fit = cut(_factored(_drawn(_drawn(fit, "g", "a"), "s", "g"), "s").drop("_all"))
+    d = F.when(F.col("an") >= LEAST, _distance("s"))
+    return stats.join(fit, ["lang", "source"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d.alias("distance"),
         (~F.col("base_failed") & ~F.coalesce(d > CUT, F.lit(False))).alias("kept"),
     )
