@@ -1,12 +1,12 @@
 """Licence scan by a positional index of rare licence words.
 
 Words of the licence notices below form an index: word -> (notice, position).
-One pass over all texts counts in how many each of these words occurs; a text
-is then looked up by its rarest licence words only (highest inverse document
-frequency). Postings of the same notice that agree on where the notice would
-begin vote for that place; a place with enough of the notice's weight is
-verified word by word and by the notice's mandatory phrases, and gives its
-label. The three base phrases are found everywhere, independently of that.
+One pass over all texts counts in how many each of these words occurs. A notice
+is posted under its rarest words only (highest inverse document frequency), as
+many as hold more weight than a place may lack: where enough of the notice's
+weight stands, one of them does. Each place that a posting names is verified
+word by word and by the notice's mandatory phrases, and gives its label. The
+three base phrases are found everywhere, independently of that.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import text_of
 from cairn.llm.words import ascii_words
 
-#: Rarest licence words of a text that are looked up, share of a notice's weight that must stand at its place, and words a phrase may be off.
-RARE, SHARE, DRIFT = 8, 0.6, 3
+#: Share of a notice's weight that must stand at its place, and words a phrase may be off.
+SHARE, DRIFT = 0.6, 3
 
 # Base phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -55,26 +55,23 @@ class Index:
 
     def __init__(self, idf: dict[bytes, float] | None = None):
         self.notices = [(label, ascii_words(text), [b" " + b" ".join(ascii_words(p)) + b" " for p in phrases]) for label, text, phrases in NOTICES]
-        self.postings = defaultdict(list)
-        for n, (_, words, _) in enumerate(self.notices):
-            for at, w in enumerate(words):
-                self.postings[w].append((n, at))
         self.idf = idf or {}
+        self.vocabulary = {w for _, words, _ in self.notices for w in words}
         self.weight = [sum(self.idf.get(w, 1.0) for w in words) for _, words, _ in self.notices]
-
-    def scan(self, words: list[bytes], present: set[bytes]) -> tuple[set[str], float]:
+        self.postings = defaultdict(list)
+        for n, (_, words, _) in enumerate(self.notices):
+            held = 0.0
+            for at in sorted(range(len(words)), key=lambda i: (-self.idf.get(words[i], 1.0), i)):
+                if held > (1 - SHARE + 1e-9) * self.weight[n]:
+                    break
+                self.postings[words[at]].append((n, at))
+                held += self.idf.get(words[at], 1.0)
+
+    def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """(labels, best share of a notice's weight) of a text."""
-        rare = sorted(present & self.postings.keys(), key=lambda w: (-self.idf.get(w, 1.0), w))[:RARE]
-        wanted, votes = set(rare), defaultdict(float)
-        for at, w in enumerate(words):
-            if w in wanted:
-                for n, place in self.postings[w]:
-                    votes[n, at - place] += self.idf.get(w, 1.0)
-        looked = [sum(self.idf.get(w, 1.0) for w in notice if w in wanted) for _, notice, _ in self.notices]
+        places = {(n, at - place) for at, w in enumerate(words) if w in self.postings for n, place in self.postings[w]}
         labels, best = set(), 0.0
-        for (n, begin), vote in votes.items():
-            if vote < SHARE * looked[n]:
-                continue
+        for n, begin in places:
             label, notice, phrases = self.notices[n]
             share = sum(self.idf.get(w, 1.0) for i, w in enumerate(notice) if 0 <= begin + i < len(words) and words[begin + i] == w) / self.weight[n]
             if share < SHARE or share <= best and label in labels:
@@ -90,7 +87,7 @@ def word_counts(docs: DataFrame) -> dict[bytes, float]:
     """idf of each licence word over all texts. The result has a row per word of NOTICES at most."""
 
     def run(batches):
-        vocabulary, found, n = set(Index().postings), defaultdict(int), 0
+        vocabulary, found, n = Index().vocabulary, defaultdict(int), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
@@ -113,7 +110,7 @@ def _scan(idf: dict[bytes, float]):
 
     def run(batches):
         index = Index(idf)
-        vocabulary = {*index.postings, b"reserved"}
+        vocabulary = {*index.vocabulary, b"reserved"}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some, out = batch.slice(at, 2048), []
@@ -126,7 +123,7 @@ def _scan(idf: dict[bytes, float]):
                             if hits := [m.start() for m in pattern.finditer(line)]:
                                 places += [line.count(b" ", 0, x) for x in hits]
                                 base.add(label)
-                    labels, score = index.scan(words, present) if len(present) > 1 else (set(), 0.0)
+                    labels, score = index.scan(words) if len(present) > 1 else (set(), 0.0)
                     out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), min(1.0, score) if labels else 1.0 if base else 0.0))
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), types, strict=True)], names=names)
 
