@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
 #: The column with a row's own number.
-ROW = "_row"
+ROW = "_cairn_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     """The rows written and read again with a number of their own (column ROW).
 
     Rows are told apart by it whatever their doc_id: ids may be null or repeat.
+    Rows that have a number already keep it and are not written again.
     """
+    if ROW in docs.columns:
+        return docs
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import shared_path, table
+from cairn.llm.common import ROW, keyed, shared_path, table
 from cairn.llm.exact_dedup import exact_dedup
 from cairn.llm.near_dedup import near_dedup
 from cairn.llm.packing import pack
@@ -13,8 +13,8 @@ from cairn.llm.suffix_dedup import suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_filter(docs)
+    """Documents that the quality rules reject go; the others have a row number for the next two stages."""
+    return quality_filter(keyed(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays."""
-    return near_dedup(docs)
+    return near_dedup(docs).drop(ROW)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
