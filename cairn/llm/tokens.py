@@ -11,7 +11,7 @@ REMEMBERED = 1_200_000
 #: Texts between two looks for new words, and words that go to the library as one text.
 TEXTS = 256
 TOGETHER = 256
-#: Characters that the tokenizer's pattern always splits off a preceding letter, and that never join a mark or a letter.
+#: Characters that the tokenizer's pattern splits off a preceding letter, unless lower case or composition makes that letter end in a mark.
 TAIL = '.,!?;:%*&$#"()[]{}-_/+=@^~|'
 #: The id that ends each document.
 END = 2
@@ -33,6 +33,8 @@ class WordEncoder:
     The library encodes each chunk once and a dictionary keeps its ids. Many
     new words go to it in one call: a word of letters is one piece of the
     tokenizer's pattern, so its ids end at the first id of a word's end.
+    Punctuation behind a word is encoded apart only if the library itself,
+    asked once for each last letter, splits the two.
     """
 
     def __init__(self, path: str):
@@ -43,6 +45,7 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.apart: dict[str, bool] = {}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -50,6 +53,13 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _splits(self, letter: str) -> bool:
+        """Whether the library gives a word's last letter and punctuation behind it ids of their own."""
+        if letter not in self.apart:
+            whole, first, rest = self._library([letter + TAIL, letter, TAIL])
+            self.apart[letter] = letter.isalpha() and whole == first + rest
+        return self.apart[letter]
+
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each of some words of letters."""
         out = []
@@ -69,7 +79,7 @@ class WordEncoder:
     def _learn(self, chunks: set[str]) -> None:
         split = {}
         for c in chunks:
-            if (core := c.rstrip(TAIL)) and core[-1].isalpha() and "'" not in c and "<" not in c:
+            if (core := c.rstrip(TAIL)) and self._splits(core[-1]) and "'" not in c and "<" not in c:
                 split[c] = (core.lower() if core.isascii() else core, c[len(core) :])
             else:
                 split[c] = (c, "")
