@@ -9,9 +9,10 @@ shards travel through Spark's Parquet writer, one row a shard with its bytes,
 and so through its commit protocol and any file system it knows.
 
 A shard, little-endian: magic, then uint32 counts (rules, symbols, documents),
-uint16 width of a symbol (2 or 4); per rule left and right symbol; uint32
-expansion length per rule; the symbols; per document int64 doc_id, uint32
-first symbol, uint32 first id. Symbols below BASE are ids.
+uint8 bits of a symbol; left symbols of the rules, their right symbols and the
+symbols themselves, each packed by bits; uint32 expansion length per rule; per
+document int64 doc_id, uint8 whether that is null, uint32 first symbol, uint32
+first id. Symbols below BASE are ids.
 """
 
 from __future__ import annotations
@@ -28,58 +29,100 @@ from pyspark.sql import functions as F
 from cairn.llm.common import shared_path, text_of
 from cairn.llm.tokens import END, tokenizer_file, word_encoder
 
-MAGIC = b"CRP1"
+MAGIC = b"CRP2"
 #: Number of ids of the vocabulary; nonterminals follow.
 BASE = 49408
-#: Ids of a shard, rounds of pair replacement, pairs replaced in a round, and occurrences that pay for a rule.
-SHARD, ROUNDS, PAIRS, OFTEN = 1 << 21, 6, 2600, 12
+#: Ids of a shard, and occurrences that pay for a rule's two symbols and length.
+SHARD, OFTEN = 1 << 21, 6
 _HASH_BITS = 20
+_DEAD = 1 << _HASH_BITS
 
 
-def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _HASH_BITS)
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The slot in which a pair is counted; pairs with END have one of their own that counts nothing."""
+    slots = (((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _HASH_BITS)).astype(np.int32)
+    slots[(left == END) | (right == END)] = _DEAD
+    return slots
 
 
-def re_pair(ids: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left and right symbol of each rule). Pairs with END are never replaced, so no symbol spans two documents."""
+def _apart(at: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Whether a place stays if of each run of one symbol only every other place does, from the left."""
+    stay = np.ones(len(at), bool)
+    runs = at[alike]
+    if len(runs):
+        fresh = np.concatenate(([True], np.diff(runs) > 1))
+        begin = runs[np.maximum.accumulate(np.where(fresh, np.arange(len(runs)), 0))]
+        stay[alike] = (runs - begin) % 2 == 0
+    return stay
+
+
+def re_pair(ids: np.ndarray, base: int = BASE, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left and right symbol of each rule). Pairs with END are never replaced, so no symbol spans two documents.
+
+    Each round replaces all pairs that pay; where two of them want the same
+    symbol, the more frequent one gets it, so the most frequent pair of all is
+    always replaced everywhere. The rounds end when no pair occurs ``often``
+    times. Pairs are counted in hash slots, which follow the replacements: a
+    slot that stays under ``often`` holds no pair that pays. While most places
+    are still in question one pair stands for its slot and others wait; once
+    they are few, and always before the end, pairs are counted themselves.
+    """
     seq = ids.astype(np.uint32)
     lefts, rights, n_rules = [], [], 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * OFTEN:
-            break
-        left, right = seq[:-1], seq[1:]
-        slots = _slot(left, right)
-        counts = np.bincount(slots, minlength=1 << _HASH_BITS)
-        top = np.argpartition(counts, -PAIRS)[-PAIRS:]
-        top = top[counts[top] >= OFTEN]
-        rank = np.full(1 << _HASH_BITS, -1, np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        which = rank[slots]
-        at = np.flatnonzero((which >= 0) & (left != END) & (right != END))
-        which, key = which[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        pairs = np.zeros(len(top), np.uint64)
-        pairs[which] = key  # one pair stands for its slot; another one in it waits for a later round
-        use = pairs[which] == key
-        at, which = at[use], which[use]
-        chosen = np.bincount(which, minlength=len(top)) >= OFTEN
-        if not chosen.any():
-            break
-        number = np.cumsum(chosen) - 1 + n_rules
-        use = chosen[which]
-        at, symbol = at[use], (number[which[use]] + base).astype(np.uint32)
-        # of overlapping places every other one is replaced, from the left
-        fresh = np.concatenate(([True], np.diff(at) > 1))
-        begin = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        even = (at - begin) % 2 == 0
-        at, symbol = at[even], symbol[even]
-        seq = seq.copy()
-        seq[at] = symbol
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq = seq[stay]
-        lefts.append((pairs[chosen] >> np.uint64(32)).astype(np.uint32))
-        rights.append((pairs[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        n_rules += int(chosen.sum())
+    slots = _slots(seq[:-1], seq[1:])
+    counts = np.bincount(slots, minlength=_DEAD + 1)
+    exact = False
+    while len(slots):
+        counts[_DEAD] = 0
+        at = np.flatnonzero(counts[slots] >= often)
+        left, right = seq[at], seq[at + 1]
+        stay = _apart(at, left == right)
+        at, key = at[stay], left[stay].astype(np.uint64) << np.uint64(32) | right[stay]
+        exact = exact or 4 * len(at) < len(seq)
+        if exact:
+            pairs, which = np.unique(key, return_inverse=True)
+        else:
+            which, pairs = slots[at], np.zeros(_DEAD, np.uint64)
+            pairs[which] = key
+            own = pairs[which] == key
+            at, which = at[own], which[own]
+        found = np.bincount(which, minlength=len(pairs))
+        pays = found >= often
+        if not pays.any():
+            if exact:
+                break
+            exact = True
+            continue
+        hit = pays[which]
+        at, which = at[hit], which[hit]
+        rank = (found * len(pairs) + np.arange(len(pairs)))[which]
+        beside = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~beside | (rank[1:] > rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+        at, which = at[wins], which[wins]
+        pays = np.bincount(which, minlength=len(pairs)) >= often
+        hit = pays[which]
+        at, which = at[hit], which[hit]
+        number = (np.cumsum(pays) - 1 + n_rules + base).astype(np.uint32)
+        # the pairs around each place go, those around the new symbol come
+        near = np.zeros(len(seq) + 1, bool)
+        near[at] = near[at + 1] = near[at - 1] = True
+        gone = slots[near[: len(slots)]]
+        seq[at] = number[which]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq, slots = seq[keep], slots[keep[:-1]][: len(seq) - len(at) - 1]
+        at = at - np.arange(len(at))
+        near = np.zeros(len(seq) + 1, bool)
+        near[at] = near[at - 1] = True
+        fresh = np.flatnonzero(near[: len(slots)])
+        slots[fresh] = _slots(seq[fresh], seq[fresh + 1])
+        np.subtract.at(counts, gone.astype(np.intp), np.int64(1))
+        np.add.at(counts, slots[fresh].astype(np.intp), np.int64(1))
+        lefts.append((pairs[pays] >> np.uint64(32)).astype(np.uint32))
+        rights.append((pairs[pays] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        n_rules += int(pays.sum())
     empty = np.zeros(0, np.uint32)
     return seq, np.concatenate(lefts or [empty]), np.concatenate(rights or [empty])
 
@@ -104,20 +147,37 @@ def _expansions(left: np.ndarray, right: np.ndarray, size: np.ndarray, base: int
     return flat, starts
 
 
-def write_shard(documents: list[tuple[int, bytes]]) -> bytes:
+def _packed(symbols: np.ndarray, bits: int) -> bytes:
+    wide = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(wide[:, 32 - bits :]).tobytes()
+
+
+def _unpacked(data: np.ndarray, bits: int, begin: int, end: int) -> np.ndarray:
+    """Symbols begin to end of packed ones; only their bytes are looked at."""
+    first = begin * bits // 8
+    raw = np.unpackbits(data[first : -(-end * bits // 8)])[begin * bits - 8 * first :][: (end - begin) * bits]
+    wide = np.zeros((end - begin, 32), np.uint8)
+    wide[:, 32 - bits :] = raw.reshape(-1, bits)
+    return np.packbits(wide).view(">u4").astype(np.uint32)
+
+
+_INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("symbol", "<u4"), ("first", "<u4")])
+_HEAD = struct.Struct("<IIIB")
+
+
+def write_shard(documents: list[tuple[int | None, bytes]]) -> bytes:
     """The file of some documents (doc_id, ids as little-endian uint32 bytes with the end id)."""
     ids = np.frombuffer(b"".join(x for _, x in documents), "<u4")
     firsts = np.cumsum([0, *(len(x) // 4 for _, x in documents)])[:-1]
     seq, left, right = re_pair(ids)
     size = _lengths(left, right, BASE)
     ends = np.cumsum(size[seq], dtype=np.int64)
-    symbols = np.searchsorted(ends, firsts, side="right")
-    width = 2 if BASE + len(left) <= 1 << 16 else 4
-    kind = f"<u{width}"
-    head = MAGIC + struct.pack("<IIIH", len(left), len(seq), len(documents), width)
-    index = np.zeros(len(documents), [("doc_id", "<i8"), ("symbol", "<u4"), ("first", "<u4")])
-    index["doc_id"], index["symbol"], index["first"] = [i for i, _ in documents], symbols, firsts
-    return b"".join((head, left.astype(kind).tobytes(), right.astype(kind).tobytes(), size[BASE:].astype("<u4").tobytes(), seq.astype(kind).tobytes(), index.tobytes()))
+    bits = (BASE + len(left) - 1).bit_length()
+    index = np.zeros(len(documents), _INDEX)
+    index["doc_id"], index["null"] = [i or 0 for i, _ in documents], [i is None for i, _ in documents]
+    index["symbol"], index["first"] = np.searchsorted(ends, firsts, side="right"), firsts
+    head = MAGIC + _HEAD.pack(len(left), len(seq), len(documents), bits)
+    return b"".join((head, *(_packed(x, bits) for x in (left, right, seq)), size[BASE:].astype("<u4").tobytes(), index.tobytes()))
 
 
 class Shard:
@@ -126,15 +186,17 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
-        n_rules, n_seq, n_docs, width = struct.unpack_from("<IIIH", data, 4)
-        at, kind = 4 + 14, f"<u{width}"
-        parts = []
-        for dtype, n in ((kind, n_rules), (kind, n_rules), ("<u4", n_rules), (kind, n_seq), ([("doc_id", "<i8"), ("symbol", "<u4"), ("first", "<u4")], n_docs)):
-            parts.append(x := np.frombuffer(data, dtype, n, at))
-            at += x.nbytes
-        self.left, self.right, sizes, self.seq, self.index = parts
+        n_rules, self.n_symbols, n_docs, self.bits = _HEAD.unpack_from(data, 4)
+        at, parts = 4 + _HEAD.size, []
+        for n in (n_rules, n_rules, self.n_symbols):
+            parts.append(np.frombuffer(data, np.uint8, -(-n * self.bits // 8), at))
+            at += parts[-1].nbytes
+        sizes = np.frombuffer(data, "<u4", n_rules, at)
+        self.index = np.frombuffer(data, _INDEX, n_docs, at + sizes.nbytes)
+        self.packed = parts[2]
+        left, right = (_unpacked(x, self.bits, 0, n_rules) for x in parts[:2])
         self.size = np.concatenate((np.ones(BASE, np.uint32), sizes))
-        self.flat, self.starts = _expansions(self.left, self.right, self.size, BASE)
+        self.flat, self.starts = _expansions(left, right, self.size, BASE)
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         size = self.size[seq].astype(np.int64)
@@ -142,16 +204,17 @@ class Shard:
         where = np.repeat(self.starts[seq] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[where]
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order."""
-        stops = [*self.index["symbol"][1:].tolist(), len(self.seq)]
-        for i, (doc_id, symbol, _) in enumerate(self.index.tolist()):
-            yield doc_id, self._expand(self.seq[symbol : stops[i]])
+        seq = _unpacked(self.packed, self.bits, 0, self.n_symbols)
+        stops = [*self.index["symbol"][1:].tolist(), self.n_symbols]
+        for i, (doc_id, null, symbol, _) in enumerate(self.index.tolist()):
+            yield None if null else doc_id, self._expand(seq[symbol : stops[i]])
 
     def read(self, nth: int, start: int, length: int) -> np.ndarray:
         """Some ids of the nth document; only the symbols that hold them are expanded."""
-        stop = int(self.index["symbol"][nth + 1]) if nth + 1 < len(self.index) else len(self.seq)
-        seq = self.seq[int(self.index["symbol"][nth]) : stop]
+        stop = int(self.index["symbol"][nth + 1]) if nth + 1 < len(self.index) else self.n_symbols
+        seq = _unpacked(self.packed, self.bits, int(self.index["symbol"][nth]), stop)
         ends = np.cumsum(self.size[seq], dtype=np.int64)
         first = int(np.searchsorted(ends, start, side="right"))
         last = int(np.searchsorted(ends, start + length, side="left")) + 1
@@ -189,12 +252,15 @@ def _writer(path: str):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Writes the ids of every text of ``docs`` (null: empty) with the end id, in ascending doc_id order (then text), to ``path``.
+    """Writes the ids of every text of ``docs`` (null: empty) with the end id, in ascending doc_id order, to ``path``.
 
-    Rows with a null doc_id have no place in the order and are an error.
+    Null ids come first. Rows with the same or a null doc_id follow each other
+    by a hash of their texts, then by the texts: an id with many rows is spread
+    over tasks as well. A text of any length is one document; one longer than
+    SHARD ids has a shard of its own. Other columns are not read.
     """
-    rows = docs.select(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id")).cast("long").alias("doc_id"), text_of("text").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     shards = ordered.mapInArrow(_writer(tokenizer or tokenizer_file()), "part long, shard long, n_ids long, data binary")
     # ids are packed already: another compression would not pay
     shards.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from operator import add
 
 import numpy as np
 
@@ -16,7 +16,7 @@ TAIL = '.,!?;:%*&$#"()[]{}-_/+=@^~|'
 #: The id that ends each document.
 END = 2
 #: Texts with the tokenizer's special strings, or with characters that are white space to Python alone, go to the library whole.
-_WHOLE = re.compile(r"<\|startoftext\|>|<\|endoftext\|>|[\x1c-\x1f]")
+_WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -77,25 +77,30 @@ class WordEncoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        split = {}
+        """Chunks that are a word with punctuation behind it have the ids of both; all others go to the library as they are."""
+        ids, cores, tails, plain, ready = self.ids, [], [], [], []
         for c in chunks:
-            if (core := c.rstrip(TAIL)) and self._splits(core[-1]) and "'" not in c and "<" not in c:
-                split[c] = (core.lower() if core.isascii() else core, c[len(core) :])
+            core = c.rstrip(TAIL)
+            if core is c or not core or "'" in c or "<" in c or not self._splits(core[-1]):
+                plain.append(c)
             else:
-                split[c] = (c, "")
-        new = {x for pair in split.values() for x in pair if x and x not in self.ids}
+                ready.append(c)
+                cores.append(core.lower() if core.isascii() else core)
+                tails.append(c[len(core) :])
+        # a word of ASCII letters has the ids of its lower case
+        folded = [c.lower() if c.isascii() else c for c in plain]
+        new = {x for x in (*folded, *cores, *tails) if x not in ids}
         for kind, some in ((self._words, [x for x in new if x.isalpha()]), (self._library, [x for x in new if not x.isalpha()])):
-            self.ids.update(zip(some, kind(some), strict=True))
-        self.ids[""] = b""
-        for c, (core, tail) in split.items():
-            self.ids[c] = self.ids[core] + self.ids[tail]
+            ids.update(zip(some, kind(some), strict=True))
+        ids.update(zip(plain, map(ids.__getitem__, folded), strict=True))
+        ids.update(zip(ready, map(add, map(ids.__getitem__, cores), map(ids.__getitem__, tails)), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         for at in range(0, len(texts), TEXTS):
             later, get = [], self.ids.__getitem__
             for i in range(at, min(at + TEXTS, len(texts))):
-                if _WHOLE.search(texts[i]):
+                if any(x in texts[i] for x in _WHOLE):
                     out[i] = self._library([texts[i]])[0]
                     continue
                 words = texts[i].split()
