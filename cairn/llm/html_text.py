@@ -1,12 +1,17 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-SEEDS pages of each host (those with the smallest hash of their id) are parsed
-into DOM trees, runs of like siblings folded, and aligned by simple tree
-matching: texts that are the same on all seeds become template, all others
-slots. Every page is then aligned with its host's template; what falls on the
-template's constant nodes goes, and of the rest the slots of the main region
-stay, without regions whose role (element or class name) is navigation, header,
-footer, advert, notice, form or comments.
+SEEDS pages of each host (those with the smallest hash of their id and text)
+are parsed into DOM trees and aligned by simple tree matching with the one
+among them that is most like the others. A node whose text is the same on all
+seeds that have it, at least half of them, is template; every other node is a
+slot. The main region is found by going down from the root, always to the
+child that holds most of the slots' text outside of links; where that leaves a
+doubt, its role (element or class name) weighs in. Every page is then aligned
+with its host's template: nodes on constant ones lose their text, and of the
+rest the main region stays, without what is never main text (forms, scripts,
+styles, menus) or bears a class such as advert or comments.
+
+A page that has nothing like its host's main region is judged by itself.
 """
 
 from __future__ import annotations
@@ -16,43 +21,60 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import cut
 
 #: Pages of a host that its template is induced from.
-SEEDS = 4
-#: Bytes of all templates up to which they are sent to every executor; more of them are joined by host.
-SMALL_BYTES = 8 << 20
-#: Longest text that can be template: longer ones are content that pages share.
-LONGEST = 300
+SEEDS = 8
+#: Bytes of all templates up to which they are sent to every executor; more of them are joined by host, in SALTS parts.
+SMALL_BYTES, SALTS = 8 << 20, 16
+#: Share of the slots' text that a child needs to be gone down to (more if a like one stands beside it), and how much a role weighs.
+MOST, MOST_OF_LIKE, WEIGHT = 0.6, 0.8, 8.0
+#: Pages that must agree on a text before it goes from the main region: two pages can share a paragraph of their own.
+WITNESSES = 3
+#: Depth of the tree: deeper elements hang at this depth, with all their text.
+DEPTH = 200
+#: Pairs of siblings that are matched with each other in full; in longer lists siblings with equal texts are matched first and those between them in order.
+CELLS = 2500
 
 # Elements without content, elements that end an open paragraph, and roles that are not main text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 ENDS_P = BLOCKS - {"br", "body", "html", "head", "td", "th", "tr", "li", "title", "caption", "legend", "summary"}
 DROPPED = frozenset("aside button dialog footer form head header iframe input menu nav noscript option script select style svg template textarea title".split())
-ROLES = re.compile(r"(^|[\s_-])(ad|ads|advert|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|share|sharing|sidebar|social|sponsor(ed)?|subscribe|toolbar|widget)($|[\s_-])", re.I)
-MAIN_ROLE = re.compile(r"(^|[\s_-])(article|content|entry|main|post|story)($|[\s_-])", re.I)
+ROLES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+MAIN_ROLES = frozenset("article content entry main post story".split())
+CONTAINERS = frozenset("article body center div html main section table tbody td tr #root".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+# no alternative looks beyond the next '<' but through quotes, so a page of broken tags takes time in proportion to its length
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^<>]*>.*?(?:</\1\s*>|$)|<[!?][^<>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S | re.I)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("kids", "name", "parent", "tag")
+    __slots__ = ("constant", "depth", "elements", "kids", "main", "name", "parent", "tag", "text")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
-        self.tag, self.name, self.parent, self.kids = tag, name, parent, []
-
-    def own(self) -> str:
-        """Its text that is not in child elements."""
-        return " ".join(" ".join(x for x in self.kids if isinstance(x, str)).split())
+        self.tag, self.name, self.parent, self.kids, self.elements = tag, name, parent, [], []
+        self.depth = parent.depth + 1 if parent else 0
+        self.text, self.constant, self.main = "", False, False
+        if parent:
+            parent.kids.append(self)
+            parent.elements.append(self)
+
+    def all(self):
+        """The node and all below it, in page order."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.elements)
 
 
 def parse(page: str) -> Node:
-    """The DOM tree of a page; unclosed and stray tags are mended."""
+    """The DOM tree of a page; unclosed and stray tags are mended. A node's text is what is not in child elements."""
     root = at = Node("#root", "", None)
     for m in _TOKEN.finditer(page):
         raw, end, tag, attributes, text = m.groups()
@@ -76,139 +98,239 @@ def parse(page: str) -> Node:
                     node = node.parent
             name = " ".join(x for y in _NAME.findall(attributes) for x in y if x) if attributes else ""
             node = Node(tag, name, at)
-            at.kids.append(node)
-            if tag not in VOID and not attributes.endswith("/"):
+            if tag not in VOID and not attributes.endswith("/") and node.depth < DEPTH:
                 at = node
+    for node in root.all():
+        node.text = " ".join(" ".join(x for x in node.kids if isinstance(x, str)).split())
     return root
 
 
-def folded(node: Node) -> list:
-    """[tag, name, text, children] with runs of like siblings as one node; the text of a run is that of its first."""
-    kids, last = [], None
-    for k in node.kids:
-        if isinstance(k, Node):
-            if last != (k.tag, k.name):
-                kids.append(folded(k))
-            last = (k.tag, k.name)
-    return [node.tag, node.name, node.own(), kids]
-
-
-def match(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching: (matched nodes, their pairs). Children match in order."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[3], b[3]
-    best = [[(0, [])] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            down, side = best[i][j + 1], best[i + 1][j]
-            top = down if down[0] >= side[0] else side
-            if p[0] == q[0]:
-                n, pairs = match(p, q)
-                if best[i][j][0] + n > top[0]:
-                    top = (best[i][j][0] + n, [*best[i][j][1], *pairs])
-            best[i + 1][j + 1] = top
-    n, pairs = best[-1][-1]
-    return n + 1, [(a, b), *pairs]
-
-
-def induce(pages: list[str]) -> list:
-    """The template of some pages of a host: a folded tree whose texts are None in slots.
-
-    Pages with the same main text are copies: their agreement says nothing, so one of them stands for all.
+def role(node: Node) -> int:
+    """1: of main text, -1: not, 0: nothing is known. Of a class name such as cookie-notice the last word counts."""
+    if node.tag in ("article", "main"):
+        return 1
+    if node.tag in DROPPED:
+        return -1
+    words = {w for x in node.name.lower().split() for w in (x, re.split("[-_]", x)[-1])}
+    return -1 if words & ROLES else 1 if words & MAIN_ROLES else 0
+
+
+class Alignment:
+    """Simple tree matching of two trees: pairs of nodes of the same element, children in order.
+
+    A pair counts one, and one more each for the same class names and the same
+    text, so that of several alignments one that keeps equal texts together wins.
+    """
+
+    def __init__(self, a: Node, b: Node):
+        self.ways: dict[tuple[int, int], list] = {}
+        self.score = self._score(a, b)
+        self.pairs: list[tuple[Node, Node]] = []
+        todo = [(a, b)] if self.score else []
+        while todo:
+            x, y = todo.pop()
+            self.pairs.append((x, y))
+            todo += self.ways.get((id(x), id(y)), ())
+
+    def _score(self, a: Node, b: Node) -> int:
+        if a.tag != b.tag:
+            return 0
+        own = 1 + (a.name == b.name) + (a.text == b.text != "")
+        x, y = a.elements, b.elements
+        if not x or not y:
+            return own
+        total, way = 0, []
+        if len(x) * len(y) <= CELLS:
+            total, way = self._fully(x, y)
+        else:
+            left = right = 0
+            for i, j in [*self._equals(x, y), (len(x), len(y))]:
+                for p, q in [*zip(x[left:i], y[right:j], strict=False), *zip(x[i : i + 1], y[j : j + 1], strict=True)]:
+                    if n := self._score(p, q):
+                        total += n
+                        way.append((p, q))
+                left, right = i + 1, j + 1
+        self.ways[id(a), id(b)] = way
+        return own + total
+
+    def _fully(self, x: list[Node], y: list[Node]) -> tuple[int, list]:
+        scores = [[self._score(p, q) for q in y] for p in x]
+        best = [[0] * (len(y) + 1)]
+        for row in scores:
+            above, new = best[-1], [0]
+            for j, n in enumerate(row):
+                new.append(max(above[j + 1], new[j], above[j] + n if n else 0))
+            best.append(new)
+        way, i, j = [], len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                way.append((x[i], y[j]))
+        return best[-1][-1], way[::-1]
+
+    @staticmethod
+    def _equals(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+        """Places of siblings with the same element and text, each once in both lists, in rising order."""
+        sides = []
+        for nodes in (x, y):
+            found: dict = {}
+            for i, n in enumerate(nodes):
+                found.setdefault((n.tag, n.text), []).append(i)
+            sides.append({k: v[0] for k, v in found.items() if len(v) == 1 and k[1]})
+        out, last = [], -1
+        for k, i in sides[0].items():
+            if (j := sides[1].get(k, -1)) > last:
+                out.append((i, j))
+                last = j
+        return out
+
+
+def _masses(trees: list[tuple[Node, dict[int, Node]]]) -> dict[int, float]:
+    """Slots' text outside of links below each node of the template; trees: each with the template's nodes by id of its own."""
+    own: dict[int, float] = {}
+    for tree, of in trees:
+        todo = [(tree, of.get(id(tree)), False)]
+        while todo:
+            node, at, link = todo.pop()
+            at, link = of.get(id(node), at), link or node.tag == "a"
+            if node.tag in ("script", "style", "head", "title", "noscript", "template", "option"):
+                continue
+            if at is not None and not link and not (at.constant and at.text == node.text):
+                own[id(at)] = own.get(id(at), 0.0) + len(node.text)
+            todo += [(k, at, link) for k in node.elements]
+    return own
+
+
+def _mark_main(template: Node, own: dict[int, float]) -> None:
+    below: dict[int, float] = {}
+    for node in reversed(list(template.all())):
+        below[id(node)] = own.get(id(node), 0.0) + sum(below[id(k)] for k in node.elements)
+    at = template
+    while at.elements and role(at) < 1:
+        weights = [below[id(k)] * WEIGHT ** role(k) for k in at.elements]
+        most = max(range(len(weights)), key=weights.__getitem__)
+        alone = sum(k.tag == at.elements[most].tag and k.name == at.elements[most].name for k in at.elements) == 1
+        here = own.get(id(at), 0.0)
+        if at.elements[most].tag not in CONTAINERS or weights[most] <= 0 or weights[most] < (MOST if alone else MOST_OF_LIKE) * (here + sum(weights)):
+            break
+        at = at.elements[most]
+    at.main = True
+
+
+def induce(pages: list[str]) -> Node:
+    """The template of some pages of a host: the nodes that at least half of them have, with constant texts and the main region marked.
+
+    Pages with the same text are copies: their agreement says nothing, so one of them stands for all.
     """
-    apart: dict[str, str] = {}
-    for p in pages:
-        apart.setdefault(main_text(p, None), p)
-    trees = [folded(parse(p)) for p in apart.values()]
-    template = trees[0]
-    constant = {id(n): n[2] for n in _nodes(template)}
-    for tree in trees[1:]:
-        pairs = {id(p): q for p, q in match(template, tree)[1]}
-        for n in list(constant):
-            if n not in pairs or pairs[n][2] != constant[n]:
-                del constant[n]
-    for n in _nodes(template):
-        # with one page, or a long text, nothing says that it is template
-        n[2] = n[2] if id(n) in constant and len(trees) > 1 and len(n[2]) <= LONGEST else None
+    trees = list({" ".join(n.text for n in t.all() if n.text and role(n) >= 0): t for t in map(parse, pages)}.values())
+    aligned = {(i, j): Alignment(a, b) for i, a in enumerate(trees) for j, b in enumerate(trees) if i != j} if len(trees) > 1 else {}
+    middle = max(range(len(trees)), key=lambda i: (sum(aligned[i, j].score for j in range(len(trees)) if j != i), -i))
+    template = trees[middle]
+    texts = {id(n): [n.text] for n in template.all()}
+    others = []
+    for j, tree in enumerate(trees):
+        pairs = aligned[middle, j].pairs if j != middle else [(n, n) for n in template.all()]
+        others.append((tree, {id(q): p for p, q in pairs}))
+        if j != middle:
+            for p, q in pairs:
+                texts[id(p)].append(q.text)
+    enough = max(2, -(-len(trees) // 2))
+    for n in template.all():
+        found = texts[id(n)]
+        n.constant = n.text != "" and len(found) >= enough and len(set(found)) == 1
+    if len(trees) > 1:
+        for n in list(template.all()):
+            n.elements = [k for k in n.elements if len(texts[id(k)]) >= enough]
+    _mark_main(template, _masses(others))
+    for n in next(n for n in template.all() if n.main).all():
+        n.constant = n.constant and len(texts[id(n)]) >= WITNESSES
     return template
 
 
-def _nodes(tree: list):
-    yield tree
-    for k in tree[3]:
-        yield from _nodes(k)
+def packed(node: Node) -> list:
+    """The template as [element, class names, constant text or null, main region, children]."""
+    return [node.tag, node.name, node.text if node.constant else None, int(node.main), [packed(k) for k in node.elements]]
 
 
-def _is_main(node: Node) -> bool:
-    return node.tag in ("article", "main")
+def unpacked(data: list, parent: Node | None = None) -> Node:
+    node = Node(data[0], data[1], parent)
+    node.text, node.constant, node.main = data[2] or "", data[2] is not None, bool(data[3])
+    for k in data[4]:
+        unpacked(k, node)
+    return node
 
 
-def main_text(page: str, template: list | None) -> str:
+def main_text(page: str, template: Node | None) -> str:
     """The main text of a page; template: of its host, or none."""
     root = parse(page)
-    constants = set()
-    if template:
-        for t, p in match(template, folded(root))[1]:
-            if t[2] and t[2] == p[2]:
-                constants.add((t[0], t[1], t[2]))
-    regions: list[Node] = []
-    blocks: dict[int, list[str]] = {}
-    sizes: dict[int, int] = {}
-
-    def walk(node: Node, region: Node, out: list[str]) -> None:
-        if node.tag in DROPPED or node.name and ROLES.search(node.name) and not _is_main(node):
+    region, constants = None, set()
+    if template is not None:
+        for t, n in Alignment(template, root).pairs:
+            if t.main:
+                region = n
+            if t.constant and t.text == n.text:
+                constants.add(id(n))
+    if region is None or role(region) < 1 and any(n.tag in ("article", "main") for n in root.all() if not _within(n, region)):
+        _mark_main(root, _masses([(root, {id(n): n for n in root.all()})]))
+        region = next(n for n in root.all() if n.main)
+    out = [""]
+
+    def walk(node: Node) -> None:
+        if node is not region and role(node) < 0:
             return
-        if constants and (node.tag, node.name, own := node.own()) in constants and own:
-            texts = False
-        else:
-            texts = True
         block = node.tag in BLOCKS
-        if _is_main(node) and not _is_main(region) or node.name and MAIN_ROLE.search(node.name) and region.tag == "#root":
-            region = node
-            regions.append(node)
-            out = blocks.setdefault(id(node), [])
         if block:
             out.append("")
         for k in node.kids:
             if isinstance(k, str):
-                if texts:
-                    out[-1:] = [(out[-1] if out else "") + k]
-                    sizes[id(region)] = sizes.get(id(region), 0) + len(k)
+                if id(node) not in constants:
+                    out[-1] += k
             else:
-                walk(k, region, out)
+                walk(k)
         if block:
             out.append("")
 
-    regions.append(root)
-    walk(root, root, blocks.setdefault(id(root), [""]))
-    named = [r for r in regions if r is not root and sizes.get(id(r))]
-    tagged = [r for r in named if _is_main(r)]
-    chosen = tagged or named or [root]
-    parts = [" ".join(b.split()) for r in chosen for b in blocks[id(r)]]
+    walk(region)
+    parts = (" ".join(b.split()) for b in out)
     return " ".join(p for p in parts if p)
 
 
+def _within(node: Node | None, region: Node) -> bool:
+    while node is not None and node is not region:
+        node = node.parent
+    return node is region
+
+
 def _host():
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON): one row per host with pages. Seeds are found by partial minima, so a large host is no heavy group."""
-    rows = pages.select(_host().alias("host"), "page_id", F.xxhash64("page_id").alias("h"), "html").where("html is not null")
-    seeds = rows.groupBy("host", F.pmod("h", F.lit(SEEDS)).alias("nth")).agg(F.min_by("html", F.struct("h", "page_id")).alias("html"))
+    """host, template (JSON): one row per host with pages that are not blank.
+
+    Seeds are ranked by ids and hashes alone, which Spark limits per task before
+    its shuffle, so a large host is no heavy group; their pages are fetched by a join.
+    """
+    rows = pages.select(_host().alias("host"), F.xxhash64("page_id", "html").alias("h"), "html").where(F.length(F.trim("html")) > 0)
+    order = Window.partitionBy("host").orderBy("h")
+    seeds = rows.select("host", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS)
+    found = rows.join(seeds, ["host", "h"]).dropDuplicates(["host", "h"])
 
     def run(frame):
         import pandas as pd
 
         own = frame.sort_values("nth")
-        return pd.DataFrame({"host": [own["host"].iloc[0]], "template": [json.dumps(induce(own["html"].tolist()))]})
+        return pd.DataFrame({"host": [own["host"].iloc[0]], "template": [json.dumps(packed(induce(own["html"].tolist())))]})
 
-    return seeds.groupBy("host").applyInPandas(run, "host string, template string")
+    return found.groupBy("host").applyInPandas(run, "host string, template string")
 
 
 def _extract(batches):
-    held: dict[str, list | None] = {}
+    held: dict[str, Node] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             some = batch.slice(at, 512)
@@ -218,7 +340,7 @@ def _extract(batches):
                 if t is not None and t not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[t] = json.loads(t)
+                    held[t] = unpacked(json.loads(t))
                 out.append(main_text(page, held.get(t)) if page else "")
             yield pa.record_batch([page_id, url, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -227,9 +349,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A null or empty page has an empty text. A null url counts as the host ''.
+    Repeated rows and ids are extracted each by itself; a page of any length or
+    depth is parsed whole. Other columns of ``pages`` are not read.
     """
     found = cut(templates(pages))
     size = found.agg(F.coalesce(F.sum(F.octet_length("template")), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host"))
-    joined = rows.join(F.broadcast(found) if size <= SMALL_BYTES else found, "host", "left")
+    if size <= SMALL_BYTES:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        parts = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(parts, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
