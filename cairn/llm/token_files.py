@@ -33,8 +33,8 @@ MAGIC = b"CRP2"
 #: Number of ids of the vocabulary; nonterminals follow.
 BASE = 49408
 #: Ids of a shard, and occurrences that pay for a rule's two symbols and length.
-SHARD, OFTEN = 1 << 21, 6
-_HASH_BITS = 20
+SHARD, OFTEN = 1 << 20, 6
+_HASH_BITS = 19
 _DEAD = 1 << _HASH_BITS
 
 
@@ -56,12 +56,30 @@ def _apart(at: np.ndarray, alike: np.ndarray) -> np.ndarray:
     return stay
 
 
+def _claimed(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which places are taken if of two that overlap the one with the higher rank comes first, and no further one fits."""
+    taken = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    while len(left):
+        beside = np.diff(at[left]) == 1
+        r = rank[left]
+        wins = np.ones(len(left), bool)
+        wins[1:] &= ~beside | (r[1:] > r[:-1])
+        wins[:-1] &= ~beside | (r[:-1] > r[1:])
+        taken[left[wins]] = True
+        out = wins.copy()
+        out[1:] |= wins[:-1] & beside
+        out[:-1] |= wins[1:] & beside
+        left = left[~out]
+    return taken
+
+
 def re_pair(ids: np.ndarray, base: int = BASE, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left and right symbol of each rule). Pairs with END are never replaced, so no symbol spans two documents.
 
     Each round replaces all pairs that pay; where two of them want the same
     symbol, the more frequent one gets it, so the most frequent pair of all is
-    always replaced everywhere. The rounds end when no pair occurs ``often``
+    always replaced everywhere, and others where that leaves room. The rounds end when no pair occurs ``often``
     times. Pairs are counted in hash slots, which follow the replacements: a
     slot that stays under ``often`` holds no pair that pays. While most places
     are still in question one pair stands for its slot and others wait; once
@@ -95,11 +113,7 @@ def re_pair(ids: np.ndarray, base: int = BASE, often: int = OFTEN) -> tuple[np.n
             continue
         hit = pays[which]
         at, which = at[hit], which[hit]
-        rank = (found * len(pairs) + np.arange(len(pairs)))[which]
-        beside = np.diff(at) == 1
-        wins = np.ones(len(at), bool)
-        wins[1:] &= ~beside | (rank[1:] > rank[:-1])
-        wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+        wins = _claimed(at, (found * len(pairs) + np.arange(len(pairs)))[which])
         at, which = at[wins], which[wins]
         pays = np.bincount(which, minlength=len(pairs)) >= often
         hit = pays[which]
@@ -206,10 +220,10 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order."""
-        seq = _unpacked(self.packed, self.bits, 0, self.n_symbols)
-        stops = [*self.index["symbol"][1:].tolist(), self.n_symbols]
-        for i, (doc_id, null, symbol, _) in enumerate(self.index.tolist()):
-            yield None if null else doc_id, self._expand(seq[symbol : stops[i]])
+        ids = self._expand(_unpacked(self.packed, self.bits, 0, self.n_symbols))
+        stops = [*self.index["first"][1:].tolist(), len(ids)]
+        for i, (doc_id, null, _, first) in enumerate(self.index.tolist()):
+            yield None if null else doc_id, ids[first : stops[i]]
 
     def read(self, nth: int, start: int, length: int) -> np.ndarray:
         """Some ids of the nth document; only the symbols that hold them are expanded."""
