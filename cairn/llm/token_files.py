@@ -141,23 +141,43 @@ def re_pair(ids: np.ndarray, base: int = BASE, often: int = OFTEN) -> tuple[np.n
     return seq, np.concatenate(lefts or [empty]), np.concatenate(rights or [empty])
 
 
+def _by_level(left: np.ndarray, right: np.ndarray, base: int) -> list[np.ndarray]:
+    """The rules in groups: each needs only ids and rules of groups before it (a rule's symbols have smaller numbers)."""
+    level = np.zeros(base + len(left), np.int32)
+    while len(left):
+        new = np.maximum(level[left], level[right]) + 1
+        if (new == level[base:]).all():
+            break
+        level[base:] = new
+    order = np.argsort(level[base:], kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(level[base:][order])) + 1) if len(left) else []
+
+
 def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """Ids that each symbol expands to; a rule's symbols always have smaller numbers."""
+    """Ids that each symbol expands to."""
     size = np.ones(base + len(left), np.uint32)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        size[base + i] = size[a] + size[b]
+    for some in _by_level(left, right, base):
+        size[base + some] = size[left[some]] + size[right[some]]
     return size
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, size: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The expansions of some symbols, one after the other."""
+    n = size[symbols].astype(np.int64)
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _expansions(left: np.ndarray, right: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(all expansions one after the other, where each symbol's begins)."""
     starts = np.concatenate(([0], np.cumsum(size[:-1], dtype=np.int64)))
     flat = np.zeros(int(starts[-1] + size[-1]), np.uint32)
     flat[:base] = np.arange(base)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        at, mid = starts[base + i], starts[base + i] + size[a]
-        flat[at:mid] = flat[starts[a] : starts[a] + size[a]]
-        flat[mid : mid + size[b]] = flat[starts[b] : starts[b] + size[b]]
+    for some in _by_level(left, right, base):
+        n = size[base + some].astype(np.int64)
+        ends = np.cumsum(n)
+        where = np.repeat(starts[base + some] - (ends - n), n) + np.arange(ends[-1])
+        flat[where] = _gathered(flat, starts, size, np.column_stack((left[some], right[some])).ravel())
     return flat, starts
 
 
@@ -213,10 +233,7 @@ class Shard:
         self.flat, self.starts = _expansions(left, right, self.size, BASE)
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        size = self.size[seq].astype(np.int64)
-        ends = np.cumsum(size)
-        where = np.repeat(self.starts[seq] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[where]
+        return _gathered(self.flat, self.starts, self.size, seq)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order."""
