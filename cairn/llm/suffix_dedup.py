@@ -3,19 +3,18 @@
 Suffixes are sorted where they can matter. Every window of LENGTH bytes has an
 anchor: the leftmost of its grams of GRAM bytes with the smallest hash. Equal
 windows have equal grams at the same offset, so a window whose gram occurs
-once in the corpus occurs once. The surroundings of an anchor reach as far as
-any window around it. If gram and surroundings occur again (128 bits), all of
-the anchor's windows do. Only where the gram occurs again and the surroundings
-do not, at the rims of repeated passages, bytes have to be compared: there the
-suffixes that start at the anchors are sorted into runs, the runs front-coded
-and exchanged by gram, and merged by a loser tree that never compares a known
-prefix again. The merge yields the common prefixes of neighbours; with those
-of the reversed text before the anchors they say exactly which windows are the
-same.
-
-Grams with more than HOT different surroundings, as those of a passage in very
-many documents, would be one heavy group: their windows are counted by 128-bit
-hashes instead, which combine before the shuffle and spread evenly.
+once in the corpus occurs once, and only anchors whose gram occurs again are
+looked at. Their suffixes, with the bytes before them, are collapsed where
+they are the same and sorted into runs by each task; the runs are front-coded,
+exchanged by range of suffix, and merged by a loser tree that never compares a
+known prefix again. The merge yields the common prefixes of neighbours; with
+those of the reversed text before the anchors they say, byte by byte, which
+windows are the same. Texts that are the same as a whole (MD5) take part once.
+
+The surroundings of an anchor reach as far as any window around it. Grams with
+more than HOT different surroundings, as those of a passage in very many
+documents, would be one heavy group in the merge: their windows are counted by
+128-bit hashes instead, which combine before the shuffle and spread evenly.
 """
 
 from __future__ import annotations
@@ -36,13 +35,15 @@ from cairn.llm.suffix_merge import class_ends, decoded, front_coded, merged
 LENGTH, GRAM = 200, 48
 #: Different surroundings of a gram up to which it is merged as one group, and suffixes of a bucket on average.
 HOT, BUCKET = 4096, 20_000
+#: Suffixes that are looked at for each bucket to find where the ranges begin; it bears on the balance of tasks alone.
+SAMPLED = 50
 #: Bytes of suffixes that a task holds before it closes its runs.
 HELD = 32 << 20
 
 _WINDOWS = LENGTH - GRAM + 1
 _LEFT = LENGTH - GRAM
-#: Windows that are looked at together; places within are numbered by the low 24 bits.
-_PIECE = 1 << 22
+#: Windows that are looked at together, which bounds the memory for a text of any length; places within are numbered by the low 24 bits.
+_PIECE = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,25 +110,28 @@ class Anchors:
     """The anchors of a text: at, first and last window of each, gram, surroundings (hashes)."""
 
     def __init__(self, data: bytes):
-        self.h = h = Hashed(data)
-        grams = h.grams()
-        windows = h.n - LENGTH + 1
-        at, first = [], []
-        for begin in range(0, windows, _PIECE):
-            v = grams[begin : min(begin + _PIECE, windows) + _WINDOWS - 1]
-            v = (v & ~_LOW) | np.arange(len(v), dtype=np.uint64)
-            place = (_least(v, _WINDOWS) & _LOW).astype(np.int64)
-            new = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
-            first.append(new + begin)
-            at.append(place[new] + begin)
-        self.at, self.first = np.concatenate(at), np.concatenate(first)
-        same = np.concatenate(([False], self.at[1:] == self.at[:-1]))  # an anchor on both sides of a piece's end
-        self.at, self.first = self.at[~same], self.first[~same]
+        windows = len(data) - LENGTH + 1
+        parts = [self._piece(data, begin, min(begin + _PIECE, windows)) for begin in range(0, windows, _PIECE)]
+        self.at, self.first, self.left, self.right, self.gram, self.around = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = np.concatenate(([True], self.at[1:] != self.at[:-1]))  # an anchor on both sides of a piece's end is one
+        for name in ("at", "first", "left", "right", "gram", "around"):
+            setattr(self, name, getattr(self, name)[new])
         self.last = np.concatenate((self.first[1:] - 1, [windows - 1]))
-        self.gram = grams[self.at]
-        self.left, self.right = np.minimum(self.at, _LEFT), np.minimum(h.n - self.at, LENGTH)
-        size = (self.left * 256 + self.right).astype(np.uint64)
-        self.around = _mixed(h.sub(self.at - self.left, self.at + self.right, 1) + size * np.uint64(0x9E3779B97F4A7C15))
+
+    @staticmethod
+    def _piece(data: bytes, begin: int, end: int) -> tuple:
+        low = max(0, begin - _LEFT)
+        h = Hashed(data[low : end + 2 * LENGTH])
+        grams = h.grams()
+        v = grams[begin - low : end - low + _WINDOWS - 1]
+        v = (v & ~_LOW) | np.arange(len(v), dtype=np.uint64)
+        place = (_least(v, _WINDOWS) & _LOW).astype(np.int64)
+        new = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
+        at = place[new] + begin
+        left, right = np.minimum(at, _LEFT), np.minimum(len(data) - at, LENGTH)
+        size = (left * 256 + right).astype(np.uint64)
+        around = _mixed(h.sub(at - left - low, at + right - low, 1) + size * np.uint64(0x9E3779B97F4A7C15))
+        return at, new + begin, left, right, grams[at - low], around
 
 
 def _anchored(batches):
@@ -147,21 +151,21 @@ def _anchored(batches):
             yield pa.record_batch([some.column(0), of(grams), of(around)], names=["key", "gram", "around"])
 
 
-#: What a text's anchor is told: all windows repeat; its suffix is to be merged; its windows are to be counted.
-_FULL, _MERGE, _COUNT = 1, 2, 4
-_ITEM = np.dtype([("key", "S16"), ("at", "<i8"), ("from", "u1"), ("to", "u1"), ("left", "u1"), ("right", "u1")])
+#: What a text's anchor is told: its suffix is to be merged; its windows are to be counted.
+_MERGE, _COUNT = 1, 2
+_ITEM = np.dtype([("item", "<i8"), ("from", "u1"), ("to", "u1"), ("left", "u1"), ("right", "u1"), ("again", "?")])
 
 
-def _pack_run(items: list[tuple]) -> bytes:
-    """Items (suffix, before, key, at, from, to) as a front-coded run."""
-    items.sort(key=lambda x: x[0])
-    shared, lengths, rests = front_coded([x[0] for x in items])
-    table = np.zeros(len(items), _ITEM)
-    for name, i in (("key", 2), ("at", 3), ("from", 4), ("to", 5)):
-        table[name] = [x[i] for x in items]
-    table["left"], table["right"] = [len(x[1]) for x in items], [len(x[0]) for x in items]
-    before = b"".join(x[1] for x in items)
-    return b"".join((struct.pack("<III", len(items), len(rests), len(before)), shared, lengths, rests, before, table.tobytes()))
+def _pack_run(items: dict[tuple[bytes, bytes], list]) -> bytes:
+    """Items (suffix, before) -> [item, from, to, again] as a front-coded run."""
+    some = sorted(items.items())
+    shared, lengths, rests = front_coded([k[0] for k, _ in some])
+    table = np.zeros(len(some), _ITEM)
+    for i, name in enumerate(("item", "from", "to", "again")):
+        table[name] = [v[i] for _, v in some]
+    table["left"], table["right"] = [len(k[1]) for k, _ in some], [len(k[0]) for k, _ in some]
+    before = b"".join(k[1] for k, _ in some)
+    return b"".join((struct.pack("<III", len(some), len(rests), len(before)), shared, lengths, rests, before, table.tobytes()))
 
 
 def _open_run(data: bytes):
@@ -171,63 +175,85 @@ def _open_run(data: bytes):
     return decoded(shared, lengths, rests), before, np.frombuffer(data, _ITEM, n, ends[-1])
 
 
-_RIM = "key binary, spans array<bigint>, bucket int, run binary, w1 bigint, w2 bigint, at bigint, off int"
+def _told(batches):
+    """(key, bytes, anchors, numbers of the anchors to merge, of those to count) of each different text."""
+    last = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key = batch.column(0)[i].as_py()
+            if key == last:  # a copy of the same text; the join has sorted by key
+                continue
+            last, data, told = key, batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
+            which = told >> 2
+            yield key, data, Anchors(data), which[told & _MERGE > 0].tolist(), which[told & _COUNT > 0].tolist()
+
+
+def _heads(batches):
+    """The first bytes of the suffixes to merge, as numbers in the order of the bytes."""
+    for _, data, a, merge, _ in _told(batches):
+        yield pa.record_batch([pa.array([int.from_bytes(data[x : x + 8], "big") - (1 << 63) for x in a.at[merge].tolist()], pa.int64())], names=["head"])
+
 
+_RIM = "key binary, items array<bigint>, ats array<bigint>, bucket int, run binary, w1 bigint, w2 bigint, at bigint, off int"
 
-def _rims(buckets: int):
-    """Reads (key, bytes, told); yields sure spans, runs of suffixes by bucket, and windows to count."""
-    schema = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.int64())), ("bucket", pa.int32()), ("run", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64()), ("off", pa.int32())])
+
+def _rims(bounds: list[int]):
+    """Reads (key, bytes, told); yields the items that each text has, runs of items by bucket, and windows to count."""
+    many = pa.list_(pa.int64())
+    schema = pa.schema([("key", pa.binary()), ("items", many), ("ats", many), ("bucket", pa.int32()), ("run", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64()), ("off", pa.int32())])
+    edges = np.array(bounds, np.int64)
 
     def rows(**columns):
         n = len(next(iter(columns.values())))
         return pa.record_batch([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
     def run(batches):
-        held: dict[int, list] = {}
-        size, last = 0, None
+        from pyspark import TaskContext
+
+        held: dict[int, dict] = {}
+        size, number = 0, TaskContext.get().partitionId() << 40
+        keys, items, ats = [], [], []
 
         def close():
             nonlocal size
             size = 0
             for bucket in sorted(held):
                 yield rows(bucket=[bucket], run=[_pack_run(held.pop(bucket))])
-
-        for batch in batches:
-            sure_key, sure = [], []
-            for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                if key == last:  # a copy of the same text; the join has sorted by key
-                    continue
-                last, data, told = key, batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                a = Anchors(data)
-                told = np.array(told, np.int64)
-                which, what = told >> 3, told & 7
-                full = which[what & _FULL > 0]
-                if len(full):
-                    full.sort()
-                    begin, end = a.first[full], a.last[full] + LENGTH
-                    new = np.concatenate(([True], begin[1:] > end[:-1]))
-                    sure_key.append(key)
-                    sure.append(np.column_stack((begin[new], np.append(end[:-1][new[1:]], end[-1]))).ravel())
-                for j in which[what & _MERGE > 0].tolist():
-                    at, left = int(a.at[j]), int(a.left[j])
-                    bucket = int(a.gram[j] >> np.uint64(8)) % buckets
-                    held.setdefault(bucket, []).append((data[at : at + int(a.right[j])], data[at - left : at][::-1], key, at, at - int(a.last[j]), at - int(a.first[j])))
-                    size += LENGTH + left
-                for j in which[what & _COUNT > 0].tolist():
-                    p = np.arange(int(a.first[j]), int(a.last[j]) + 1)
-                    yield rows(key=[key] * len(p), w1=a.h.sub(p, p + LENGTH, 0).view(np.int64), w2=a.h.sub(p, p + LENGTH, 1).view(np.int64), at=[int(a.at[j])] * len(p), off=(int(a.at[j]) - p).astype(np.int32))
-                if size > HELD:
-                    yield from close()
-            if sure:
-                yield rows(key=sure_key, spans=sure)
+            yield rows(key=keys, items=items, ats=ats)
+            for x in (keys, items, ats):
+                x.clear()
+
+        for key, data, a, merge, count in _told(batches):
+            mine = []
+            heads = [int.from_bytes(data[x : x + 8], "big") - (1 << 63) for x in a.at[merge].tolist()]
+            for j, bucket in zip(merge, np.searchsorted(edges, heads, side="right").tolist(), strict=True):
+                at, left = int(a.at[j]), int(a.left[j])
+                suffix, before = data[at : at + int(a.right[j])], data[at - left : at][::-1]
+                own = held.setdefault(bucket, {})
+                if (item := own.get((suffix, before))) is None:
+                    own[suffix, before] = item = [number, at - int(a.last[j]), at - int(a.first[j]), False]
+                    number += 1
+                    size += len(suffix) + left
+                else:
+                    item[3] = True  # the same bytes around: all its windows occur again
+                mine.append(item[0])
+            if merge:
+                keys.append(key)
+                items.append(mine)
+                ats.append(a.at[merge].tolist())
+            for j in count:
+                first, last, at = int(a.first[j]), int(a.last[j]), int(a.at[j])
+                h, p = Hashed(data[first : last + LENGTH]), np.arange(last - first + 1)
+                yield rows(key=[key] * len(p), w1=h.sub(p, p + LENGTH, 0).view(np.int64), w2=h.sub(p, p + LENGTH, 1).view(np.int64), at=[at] * len(p), off=(at - first - p).astype(np.int32))
+            if size > HELD:
+                yield from close()
         yield from close()
 
     return run
 
 
-def repeated_windows(runs: list[bytes]) -> list[tuple[bytes, int, int]]:
-    """(key, begin, end) that the repeated windows of each anchor in the runs cover, where there are any."""
+def repeated_windows(runs: list[bytes]) -> list[tuple[int, int, int]]:
+    """(item, least and greatest offset of its repeated windows) of the items in the runs that have any."""
     opened = [_open_run(r) for r in runs]
     firsts = np.cumsum([0, *(len(t) for _, _, t in opened)])
     nth = [int(x) for x in firsts[:-1]]
@@ -247,6 +273,8 @@ def repeated_windows(runs: list[bytes]) -> list[tuple[bytes, int, int]]:
     differ = near[1:] != near[:-1]
     shared_left = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), _LEFT)))
     low, high = np.full(n, 255), np.full(n, -1)
+    again = items["again"]
+    low[again], high[again] = items["from"][again], items["to"][again]
     right_class, left_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for off in range(_WINDOWS):
         live = np.flatnonzero((items["from"] <= off) & (off <= items["to"]) & (items["left"] >= off) & (items["right"] >= LENGTH - off))
@@ -254,13 +282,14 @@ def repeated_windows(runs: list[bytes]) -> list[tuple[bytes, int, int]]:
             continue
         right_class[order] = class_ends(shared, LENGTH - off)
         left_class[by_left] = class_ends(shared_left, off) if off else 0
-        _, which, counts = np.unique(right_class[live] * (n + 1) + left_class[live], return_inverse=True, return_counts=True)
-        again = live[counts[which] > 1]
-        low[again] = np.minimum(low[again], off)
-        high[again] = off
+        window = right_class[live] * (n + 1) + left_class[live]
+        sort = np.argsort(window, kind="stable")
+        same = window[sort][1:] == window[sort][:-1]
+        found = live[sort[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]
+        low[found] = np.minimum(low[found], off)
+        high[found] = np.maximum(high[found], off)
     found = np.flatnonzero(high >= 0)
-    keys = items["key"]
-    return [(bytes(keys[i]).ljust(16, b"\0"), int(items["at"][i] - high[i]), int(items["at"][i] - low[i]) + LENGTH) for i in found.tolist()]
+    return list(zip(items["item"][found].tolist(), low[found].tolist(), high[found].tolist(), strict=True))
 
 
 def _merged(batches):
@@ -270,7 +299,7 @@ def _merged(batches):
 
     for _, some in groupby(rows(), key=lambda r: r[0]):
         found = repeated_windows([r for _, r in some])
-        yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([[x[1], x[2]] for x in found], pa.list_(pa.int64()))], names=["key", "spans"])
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((),) * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["item", "low", "high"])
 
 
 def _kept(batches):
@@ -296,77 +325,87 @@ def keep(data: bytes, spans: list[int]) -> tuple[bytes, int, int]:
     return kept, len(data) - len(kept), n
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
     data = text_of("text").cast("binary")
-    return docs.select("*", data.alias("_bytes"), F.unhex(F.md5(data)).alias("_key"))
+    return docs.select(*columns, data.alias("bytes"), F.unhex(F.md5(data)).alias("key"))
+
+
+def _bounds(told: DataFrame, texts: DataFrame, size: int) -> list[int]:
+    """Where the ranges of the buckets begin, from the suffixes of some texts."""
+    buckets = -(-size // BUCKET)
+    if buckets < 2:
+        return []
+    some = told.where(F.pmod(F.xxhash64("key"), F.lit(max(1, size // (SAMPLED * buckets)))) == 0)
+    heads = texts.join(F.broadcast(some.select(F.col("key").alias("k"))), F.col("key") == F.col("k"), "left_semi").join(some, "key")
+    heads = heads.select("key", "bytes", "told").sortWithinPartitions("key").mapInArrow(_heads, "head bigint")
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return sorted(set(heads.agg(F.percentile_approx("head", shares, 10 * buckets).alias("b")).first().b or []))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """_key (MD5 of the text), copied (the whole text occurs again), spans: of each text with something to remove."""
+    """key (MD5 of the text), copied (the whole text occurs again), spans: of each text with something to remove."""
     spark = docs.sparkSession
-    texts = _rows(docs).select(F.col("_key").alias("key"), F.col("_bytes").alias("bytes"))
+    texts = _keyed(docs).select("key", "bytes")
     anchored = texts.mapInArrow(_anchored, "key binary, gram array<bigint>, around array<bigint>")
     anchored = cut(anchored.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("gram").alias("gram"), F.first("around").alias("around")))
     free(spark)
-    zipped = anchored.select("key", "copies", F.posexplode(F.arrays_zip("gram", "around")).alias("nth", "a")).select("key", "nth", F.least("copies", F.lit(2)).alias("copies"), "a.gram", "a.around")
-    name = F.xxhash64("key", "nth")
-    seen = cut(zipped.groupBy("gram", "around").agg(F.sum("copies").alias("n"), F.min(name).alias("first")))
+    zipped = anchored.select("key", F.posexplode(F.arrays_zip("gram", "around")).alias("nth", "a")).select("key", "nth", "a.gram", "a.around")
+    seen = cut(zipped.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n")))
     free(spark)
     grams = seen.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    seen = cut(seen.join(grams.hint("shuffle_merge"), "gram").select("gram", "around", (F.col("n") > 1).alias("full"), "first", "kinds"))
-    size = seen.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).count()
-    buckets = max(1, -(-size // BUCKET))
+    seen = cut(seen.join(grams.hint("shuffle_merge"), "gram").select("gram", "around", "n", F.when(F.col("kinds") > HOT, _COUNT).otherwise(_MERGE).alias("way")))
+    size = seen.where(F.col("way") == _MERGE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     free(spark)
-    # a gram with one kind of surroundings needs no comparison; of a repeated kind one anchor stands for all
-    stands = (F.col("kinds") > 1) & (~F.col("full") | (name == F.col("first")))
-    sure = F.when(F.col("full") & (F.col("copies") == 1), _FULL).otherwise(0)
-    told = sure + F.when(stands, F.when(F.col("kinds") > HOT, _COUNT).otherwise(_MERGE)).otherwise(0)
-    told = zipped.join(seen.hint("shuffle_merge"), ["gram", "around"]).select("key", (F.col("nth") * 8 + told).alias("told")).where("told % 8 > 0")
+    told = zipped.join(seen.select("gram", "around", "way").hint("shuffle_merge"), ["gram", "around"]).select("key", (F.col("nth") * 4 + F.col("way")).alias("told"))
     told = cut(told.groupBy("key").agg(F.collect_list("told").alias("told")))
     copied = anchored.where("copies > 1").select("key")
     free(spark)
-    rims = cut(texts.join(told.hint("shuffle_merge"), "key").mapInArrow(_rims(buckets), _RIM))
+    bounds = _bounds(told, texts, size)
+    rims = cut(texts.join(told.hint("shuffle_merge"), "key").mapInArrow(_rims(bounds), _RIM))
     free(spark)
-    runs = rims.where("run is not null").select("bucket", "run").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    spans = rims.where("spans is not null").select("key", "spans")
-    spans = spans.unionByName(runs.mapInArrow(_merged, "key binary, spans array<bigint>"))
+    runs = rims.where("run is not null").select("bucket", "run").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket")
+    found = runs.mapInArrow(_merged, "item bigint, low int, high int")
+    items = rims.where("items is not null").select("key", F.explode(F.arrays_zip("items", "ats")).alias("m")).select("key", F.col("m.items").alias("item"), F.col("m.ats").alias("at"))
+    span = lambda low, high: F.array(F.col("at") - F.col(high), F.col("at") - F.col(low) + LENGTH).alias("spans")
+    spans = items.join(found, "item").select("key", span("low", "high"))
     windows = rims.where("w1 is not null").select("w1", "w2", "key", "at", "off")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    counted = windows.join(again, ["w1", "w2"]).groupBy("key", "at").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
-    spans = spans.unionByName(counted.select("key", F.array(F.col("at") - F.col("hi"), F.col("at") - F.col("lo") + LENGTH).alias("spans")))
+    counted = windows.join(again, ["w1", "w2"]).groupBy("key", "at").agg(F.min("off").alias("low"), F.max("off").alias("high"))
+    spans = spans.unionByName(counted.select("key", span("low", "high")))
     marked = spans.withColumn("copied", F.lit(False)).unionByName(copied.select("key", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copied")))
     out = cut(marked.groupBy("key").agg(F.max("copied").alias("copied"), F.flatten(F.collect_list("spans")).alias("spans")))
     free(spark)
-    return out.select(F.col("key").alias("_key"), "copied", F.when(~F.col("copied"), F.col("spans")).alias("spans"))
+    return out.select("key", "copied", F.when(~F.col("copied"), F.col("spans")).alias("spans"))
 
 
 def suffix_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A null text is empty. Rows with the same text, whatever their doc_ids,
-    lose it whole if it has LENGTH bytes or more. Other columns are not read.
+    A null text is empty. Rows with the same text, whatever their doc_ids (null
+    ones too), lose it whole if it has LENGTH bytes or more. A text of any
+    length is taken whole. Other columns are not read.
     """
-    rows = _rows(docs).select(F.col("doc_id").cast("long"), "_bytes", "_key").join(repeats(docs.select("doc_id", "text")).hint("shuffle_merge"), "_key", "left")
-    return rows.select("doc_id", "_bytes", "copied", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _keyed(docs, F.col("doc_id").cast("long")).join(repeats(docs.select("text")).hint("shuffle_merge"), "key", "left")
+    return rows.select("doc_id", "bytes", "copied", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the repeated byte strings, n_chars (if there) counted anew.
 
-    A character that loses some of its bytes goes whole. Null texts stay null.
+    A character that loses some of its bytes goes whole. Null texts stay null,
+    every row stays, whatever its doc_id, and so do all other columns.
     """
     columns = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, data, copied, spans in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("_bytes", "copied", "spans")), strict=True):
+            row, texts = batch.column(0), []
+            own = row.field(columns.index("text")).to_pylist()
+            for text, data, copied, spans in zip(own, *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 kept, _, n = keep(data, [0, len(data)] if copied and len(data) >= LENGTH else spans or [])
                 texts.append(kept.decode("utf-8", "ignore") if n else text)
-            out = batch.select(columns)
-            out = out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
-            yield out
+            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else row.field(i) for i, c in enumerate(columns)], names=columns)
 
-    found = repeats(docs.select("doc_id", "text"))
-    out = _rows(docs).join(found.hint("shuffle_merge"), "_key", "left").select(*columns, "_bytes", "copied", "spans").mapInArrow(run, docs.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    out = _keyed(docs, whole).join(repeats(docs.select("text")).hint("shuffle_merge"), "key", "left").select("row", "bytes", "copied", "spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

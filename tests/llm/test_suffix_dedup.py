@@ -60,6 +60,33 @@ def test_heavy_grams_are_counted(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 25)
+    rows = texts(4)
+    assert result(spark, rows) == brute(rows)
+
+
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"abcd") for _ in range(3000)) + b"x" * 700 + bytes(rng.choice(b"abcd") for _ in range(500))
+    whole = suffix_dedup.Anchors(data)
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 137)
+    parts = suffix_dedup.Anchors(data)
+    for name in ("at", "first", "last", "left", "right", "gram", "around"):
+        assert (getattr(whole, name) == getattr(parts, name)).all(), name
+
+
+def test_long_text_repeated_and_null_ids_and_clashing_columns(spark):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60_000))
+    rows = [(1, long + "one", 1), (1, "head " + long[5000:9000], 2), (None, "short", 3), (None, "short", 3), (None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int").selectExpr("*", "bytes AS key", "bytes AS copied", "bytes AS spans", "bytes AS `a.b`")
+    got = suffix_dedup.suffix_dedup(docs)
+    assert got.columns == docs.columns
+    by = {r.bytes: r.text for r in got.collect()}
+    assert by == {1: long[:5000] + long[9000:] + "one", 2: "head ", 3: "short", 4: None} and got.count() == 5
+
+
 def test_empty_table_and_text_of_stage(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert suffix_dedup.suffix_spans(docs).collect() == []
