@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.guards import col, finite, is_numeric, kind_of, safe_corr
+from cairn.operators.ranks import average_ranks, percentiles, percentiles_by
 
 
 def _x(df: DataFrame, column: str):
@@ -16,12 +17,12 @@ def _x(df: DataFrame, column: str):
     return finite(df, column).cast("double")
 
 
-def numeric_summary(df: DataFrame, column: str, percentiles: tuple[float, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
+def numeric_summary(df: DataFrame, column: str, shares: tuple[float, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
     """One row: counts, mean, sample variance and deviation, extremes, range, percentiles (linear) as p5, p25, ..."""
     x = _x(df, column)
-    q = F.percentile(x, F.array(*[F.lit(p / 100) for p in percentiles]))
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_valid"), F.count_if(col(column).isNull()).alias("n_null"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), (F.max(x) - F.min(x)).alias("value_range"), q.alias("q"))
-    return one.select("*", *[F.col("q")[i].alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(percentiles)]).drop("q")
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_valid"), F.count_if(col(column).isNull()).alias("n_null"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), (F.max(x) - F.min(x)).alias("value_range"))
+    q = percentiles(df, {"q": x}, [p / 100 for p in shares])
+    return one.join(F.broadcast(q)).select("*", *[F.col("q")[i].alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(shares)]).drop("q")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -38,7 +39,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def box_plot(df: DataFrame, column: str) -> DataFrame:
     """q1, median, q3, iqr, and whiskers at the outermost values within 1.5 iqr of the box."""
     x = _x(df, column)
-    box = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    box = percentiles(df, {"q": x}, [0.25, 0.5, 0.75]).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     box = box.withColumn("iqr", F.col("q3") - F.col("q1"))
     inside = F.when((F.col("x") >= F.col("q1") - 1.5 * F.col("iqr")) & (F.col("x") <= F.col("q3") + 1.5 * F.col("iqr")), F.col("x"))
     return df.select(x.alias("x")).join(F.broadcast(box)).groupBy("q1", "median", "q3", "iqr").agg(F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"), F.count("x").cast("long").alias("n"), (F.count("x") - F.count(inside)).alias("n_outside"))
@@ -55,25 +56,10 @@ def pair_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson"), F.when(F.count(F.lit(1)) > 1, F.covar_samp("x", "y")).alias("covariance"))
 
 
-def _average_ranks(counts: DataFrame, value: str) -> DataFrame:
-    """Average rank of each distinct value, from counts per value.
-
-    Values are ranged into parts; each part ranks on its own and starts where
-    the parts before end, so no task sees all values.
-    """
-    from pyspark.sql.functions import spark_partition_id
-
-    parts = counts.repartitionByRange(value).withColumn("_part", spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.sum("n").alias("size"))
-    starts = sizes.select("_part", (F.sum("size").over(Window.orderBy("_part")) - F.col("size")).alias("start"))  # one row a partition
-    before = F.sum("n").over(Window.partitionBy("_part").orderBy(value)) - F.col("n")
-    return parts.withColumn("_before", before).join(F.broadcast(starts), "_part").select(value, (F.col("start") + F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n and the Pearson correlation of average ranks over rows where both values are finite."""
     pairs = df.select(_x(df, x).alias("x"), _x(df, y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    ranks = {c: _average_ranks(pairs.groupBy(c).agg(F.sum("n").alias("n")), c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")}
+    ranks = {c: average_ranks(pairs.groupBy(c).agg(F.sum("n").alias("n")), c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")}
     joined = pairs.join(ranks["x"], "x").join(ranks["y"], "y")
     n, a, b = (F.col(c).cast("double") for c in ("n", "rx", "ry"))
     m = joined.agg(F.sum(n).alias("n"), F.sum(n * a).alias("sa"), F.sum(n * b).alias("sb"), F.sum(n * a * a).alias("saa"), F.sum(n * b * b).alias("sbb"), F.sum(n * a * b).alias("sab"))
@@ -87,7 +73,8 @@ def group_summary(df: DataFrame, category: str, value: str) -> DataFrame:
     x = _x(df, value)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = df.select(col(category).alias("category"), x.alias("x")).where("category is not null and x is not null")
-    return rows.groupBy("category").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("minimum"), F.max("x").alias("maximum"), zero(F.var_samp("x")).alias("variance"), zero(F.stddev_samp("x")).alias("stddev"))
+    out = rows.groupBy("category").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("minimum"), F.max("x").alias("maximum"), zero(F.var_samp("x")).alias("variance"), zero(F.stddev_samp("x")).alias("stddev"))
+    return out.join(percentiles_by(rows, ["category"], "x", [0.5]).select("category", F.col("q")[0].alias("median")), "category")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -107,18 +94,39 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, pearson, n over pairwise valid rows, for x <= y in the given order. One aggregate over one scan."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*[F.struct(safe_corr(_x(df, a), _x(df, b)).alias("pearson"), F.count_if(_x(df, a).isNotNull() & _x(df, b).isNotNull()).alias("n")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{i}`.pearson").alias("pearson"), F.col(f"`{i}`.n").alias("n")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+    """x, y, pearson, n over pairwise valid rows, for x <= y in the given order.
+
+    Sums of the values, centred at their means, are taken once for each set of
+    columns that a row has; a pair adds up the sets that hold both of its columns.
+    """
+    k = len(columns)
+    pairs = list(combinations_with_replacement(range(k), 2))
+    rows = df.select(*[_x(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    means = rows.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(k)])
+    valid = sum((F.when(F.col(f"x{i}").isNotNull(), 1 << i).otherwise(0) for i in range(k)), F.lit(0))
+    centred = rows.join(F.broadcast(means)).select(valid.alias("valid"), *[F.coalesce(F.col(f"x{i}") - F.col(f"m{i}"), F.lit(0.0)).alias(f"x{i}") for i in range(k)])
+    ends = [f(f"x{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))]
+    sums = centred.groupBy("valid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs], *ends)
+    out = []
+    for i, j in pairs:
+        both = F.col("valid").bitwiseAND((1 << i) | (1 << j)) == ((1 << i) | (1 << j))
+        total = lambda c: F.sum(F.when(both, F.col(c)))  # noqa: B023, E731
+        n = F.coalesce(total("n"), F.lit(0))
+        mean = lambda c: F.try_divide(total(c), n)  # noqa: B023, E731
+        moment = lambda a, b: mean(f"p{min(a, b)}_{max(a, b)}") - mean(f"s{a}") * mean(f"s{b}")  # noqa: B023, E731
+        varies = lambda a: F.max(F.when(both, F.col(f"hi{a}"))) > F.min(F.when(both, F.col(f"lo{a}")))  # noqa: B023, E731
+        r = F.try_divide(moment(i, j), F.sqrt(F.greatest(moment(i, i), F.lit(0.0))) * F.sqrt(F.greatest(moment(j, j), F.lit(0.0))))
+        out.append(F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.when((n > 1) & varies(i) & varies(j), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("pearson"), n.alias("n")).alias(f"r{i}_{j}"))
+    return sums.agg(*out).select(F.explode(F.array(*[F.col(f"r{i}_{j}") for i, j in pairs])).alias("r")).select("r.*")
 
 
 def anomalies(df: DataFrame, key: str, column: str, threshold: float = 3.5, least: int = 8) -> DataFrame:
     """key, value, score of rows whose modified z-score is over the threshold: |x - median| / (1.4826 MAD), else by IQR / 1.349, else any deviation."""
     rows = df.select(col(key).alias("key"), _x(df, column).alias("value")).where("value is not null")
-    first = rows.agg(F.median("value").alias("m"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))  # one row
+    q = percentiles(rows, {"q": F.col("value")}, [0.25, 0.5, 0.75]).select(F.array(F.col("q")[0], F.col("q")[2]).alias("q"), F.col("q")[1].alias("m"))
+    first = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(q))  # one row
     centred = rows.join(F.broadcast(first)).withColumn("d", F.abs(F.col("value") - F.col("m")))
-    mad = centred.agg((1.4826 * F.median("d")).alias("mad"))  # one row
+    mad = percentiles(centred, {"d": F.col("d")}, [0.5]).select((1.4826 * F.col("d")[0]).alias("mad"))  # one row
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("q")[1] > F.col("q")[0], (F.col("q")[1] - F.col("q")[0]) / 1.349)
     score = F.when(scale.isNotNull(), F.try_divide(F.col("d"), scale)).when(F.col("d") > 0, F.lit(float("inf"))).otherwise(0.0)
     return centred.join(F.broadcast(mad)).where(F.col("n") >= least).select("key", "value", score.alias("score")).where(F.col("score") > threshold)

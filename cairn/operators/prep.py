@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text
 from cairn.functions.guards import col, finite, is_float, is_numeric, kind_of
 from cairn.functions.predicates import ORDERED, Predicate, literal, rule_filter, rule_review
+from cairn.operators.ranks import percentiles
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,9 @@ def _fit_missing(df: DataFrame, config: dict) -> dict:
     strategy, columns = config["strategy"], config["columns"]
     if strategy in ("mean", "median"):
         _numbers(df, columns)
-        return _one(df, {c: F.avg(finite(df, c).cast("double")) if strategy == "mean" else F.median(finite(df, c).cast("double")) for c in columns})
+        if strategy == "mean":
+            return _one(df, {c: F.avg(finite(df, c).cast("double")) for c in columns})
+        return {c: q and q[0] for c, q in percentiles(df, {c: finite(df, c) for c in columns}, [0.5]).first().asDict().items()}
     if strategy == "most_frequent":
         return _one(df, {c: F.mode(col(c), True) for c in columns})
     return {}
@@ -96,7 +99,7 @@ def _fit_clip(df: DataFrame, config: dict) -> dict:
     _numbers(df, columns)
     if config["strategy"] == "clip_bounds":
         return {c: [config["lower"], config["upper"]] for c in columns}
-    got = _one(df, {c: F.percentile(finite(df, c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))) for c in columns} | {f"n:{c}": F.count(finite(df, c)) for c in columns})
+    got = _one(df, {f"n:{c}": F.count(finite(df, c)) for c in columns}) | percentiles(df, {c: finite(df, c) for c in columns}, [0.25, 0.75]).first().asDict()
     out = {}
     for c in columns:
         if got[f"n:{c}"] < 4:
@@ -150,7 +153,7 @@ def _mapping(df: DataFrame, config: dict, learned: dict) -> DataFrame:
     def policy(kind: str) -> Column:
         what = config.get(kind, "preserve")
         if what == "error":
-            return F.raise_error(F.lit(f"{name} has a value that is {kind}")).cast("string")
+            return F.raise_error(F.lit(f"{name} has a value that is {kind}")).cast(df.schema[name].dataType)
         return F.lit(config[f"{kind}_value"]) if what == "constant" else c
 
     return df.withColumn(name, F.when(c.isNull(), policy("null")).when(found.isNotNull(), found).otherwise(policy("unmapped")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.guards import col, finite, is_float, is_numeric, kind_of
+from cairn.operators.ranks import percentiles
 
 #: Rows that a finding shows as examples.
 EXAMPLES = 5
@@ -26,18 +27,32 @@ def _empty(df: DataFrame, c: str) -> Column:
     return F.count_if(col(c) == "") if isinstance(kind_of(df, c), T.StringType) else F.lit(0).cast("long")
 
 
+def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many different values each column has (-0.0 is 0.0). Values are counted by column, not rows by all columns."""
+    text = lambda c: (F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c) + F.lit(0.0)) if is_float(kind_of(df, c)) else col(c)).cast("string")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+    counts = long.where("v is not null").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"n_distinct:{c}") for i, c in enumerate(columns)])
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, n_rows, n_null, n_empty, n_nonfinite, n_distinct (exact), and minimum, maximum, mean, median of numbers."""
     columns, out = columns or df.columns, {}
+    numbers = [c for c in columns if is_numeric(kind_of(df, c))]
     for c in columns:
-        number = is_numeric(kind_of(df, c))
-        x = finite(df, c).cast("double") if number else F.lit(None).cast("double")
+        x = finite(df, c).cast("double") if c in numbers else F.lit(None).cast("double")
         out |= {
             f"n_rows:{c}": F.count(F.lit(1)), f"n_null:{c}": F.count_if(col(c).isNull()), f"n_empty:{c}": _empty(df, c),
-            f"n_nonfinite:{c}": F.count(col(c)) - F.count(finite(df, c)), f"n_distinct:{c}": F.count_distinct(col(c)),
-            f"minimum:{c}": F.min(x), f"maximum:{c}": F.max(x), f"mean:{c}": F.avg(x), f"median:{c}": F.median(x),
+            f"n_nonfinite:{c}": F.count(col(c)) - F.count(finite(df, c)), f"minimum:{c}": F.min(x), f"maximum:{c}": F.max(x), f"mean:{c}": F.avg(x),
         }
-    return _long(df, columns, out)
+    one = df.agg(*[v.alias(k) for k, v in out.items()]).join(F.broadcast(_distinct(df, columns)))
+    if numbers:
+        one = one.join(F.broadcast(percentiles(df, {f"q:{c}": finite(df, c) for c in numbers}, [0.5])))
+    for c in columns:
+        one = one.withColumn(f"median:{c}", F.col(f"`q:{c}`")[0] if c in numbers else F.lit(None).cast("double"))
+    names = sorted({k.split(":", 1)[0] for k in out} | {"n_distinct", "median"})
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{n}:{c}`").alias(n) for n in names]) for c in columns]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def coerced_numbers(df: DataFrame, column: str) -> DataFrame:
@@ -98,8 +113,7 @@ def type_families(df: DataFrame, columns: list[str]) -> DataFrame:
 def _bounds(df: DataFrame, column: str, method: str, threshold: float) -> DataFrame:
     x = finite(df, column).cast("double")
     if method == "iqr":
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-        one = df.agg(F.count(x).alias("n"), q.alias("q"))
+        one = df.agg(F.count(x).alias("n")).join(F.broadcast(percentiles(df, {"q": x}, [0.25, 0.75])))
         spread = F.col("q")[1] - F.col("q")[0]
         return one.select((F.col("q")[0] - threshold * spread).alias("lo"), (F.col("q")[1] + threshold * spread).alias("hi"), (F.col("n") >= 4).alias("usable"))
     one = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.count(x).alias("n"))
@@ -113,10 +127,6 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float =
     return df.join(F.broadcast(b), (x < b["lo"]) | (x > b["hi"])).where("usable").drop("lo", "hi", "usable")
 
 
-def _row(df: DataFrame) -> Column:
-    return F.struct(*[F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c)).alias(c) if is_float(kind_of(df, c)) else col(c) for c in df.columns])
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_duplicates (rows beyond the first of each kind)."""
     kinds = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
