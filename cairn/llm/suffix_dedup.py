@@ -14,7 +14,8 @@ windows are the same. Texts that are the same as a whole (MD5) take part once.
 The surroundings of an anchor reach as far as any window around it. Grams with
 more than HOT different surroundings, as those of a passage in very many
 documents, would be one heavy group in the merge: their windows are counted by
-128-bit hashes instead, which combine before the shuffle and spread evenly.
+128-bit hashes instead, which combine before the shuffle and spread evenly. Of
+anchors whose surroundings are the same, too, one stands for all there.
 """
 
 from __future__ import annotations
@@ -151,8 +152,8 @@ def _anchored(batches):
             yield pa.record_batch([some.column(0), of(grams), of(around)], names=["key", "gram", "around"])
 
 
-#: What a text's anchor is told: its suffix is to be merged; its windows are to be counted.
-_MERGE, _COUNT = 1, 2
+#: What a text's anchor is told: its suffix is to be merged; its windows are to be counted; all its windows occur again.
+_MERGE, _COUNT, _SURE = 1, 2, 4
 _ITEM = np.dtype([("item", "<i8"), ("from", "u1"), ("to", "u1"), ("left", "u1"), ("right", "u1"), ("again", "?")])
 
 
@@ -176,7 +177,7 @@ def _open_run(data: bytes):
 
 
 def _told(batches):
-    """(key, bytes, anchors, numbers of the anchors to merge, of those to count) of each different text."""
+    """(key, bytes, anchors, numbers of the anchors to merge, of those to count, of sure ones) of each different text."""
     last = None
     for batch in batches:
         for i in range(batch.num_rows):
@@ -184,23 +185,23 @@ def _told(batches):
             if key == last:  # a copy of the same text; the join has sorted by key
                 continue
             last, data, told = key, batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
-            which = told >> 2
-            yield key, data, Anchors(data), which[told & _MERGE > 0].tolist(), which[told & _COUNT > 0].tolist()
+            which = told >> 3
+            yield key, data, Anchors(data), *(which[told & x > 0].tolist() for x in (_MERGE, _COUNT, _SURE))
 
 
 def _heads(batches):
     """The first bytes of the suffixes to merge, as numbers in the order of the bytes."""
-    for _, data, a, merge, _ in _told(batches):
+    for _, data, a, merge, _, _ in _told(batches):
         yield pa.record_batch([pa.array([int.from_bytes(data[x : x + 8], "big") - (1 << 63) for x in a.at[merge].tolist()], pa.int64())], names=["head"])
 
 
-_RIM = "key binary, items array<bigint>, ats array<bigint>, bucket int, run binary, w1 bigint, w2 bigint, at bigint, off int"
+_RIM = "key binary, items array<bigint>, ats array<bigint>, sure array<bigint>, bucket int, run binary, w1 bigint, w2 bigint, at bigint, off int"
 
 
 def _rims(bounds: list[int]):
     """Reads (key, bytes, told); yields the items that each text has, runs of items by bucket, and windows to count."""
     many = pa.list_(pa.int64())
-    schema = pa.schema([("key", pa.binary()), ("items", many), ("ats", many), ("bucket", pa.int32()), ("run", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64()), ("off", pa.int32())])
+    schema = pa.schema([("key", pa.binary()), ("items", many), ("ats", many), ("sure", many), ("bucket", pa.int32()), ("run", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64()), ("off", pa.int32())])
     edges = np.array(bounds, np.int64)
 
     def rows(**columns):
@@ -212,18 +213,18 @@ def _rims(bounds: list[int]):
 
         held: dict[int, dict] = {}
         size, number = 0, TaskContext.get().partitionId() << 40
-        keys, items, ats = [], [], []
+        keys, items, ats, spans = [], [], [], []
 
         def close():
             nonlocal size
             size = 0
             for bucket in sorted(held):
                 yield rows(bucket=[bucket], run=[_pack_run(held.pop(bucket))])
-            yield rows(key=keys, items=items, ats=ats)
-            for x in (keys, items, ats):
+            yield rows(key=keys, items=items, ats=ats, sure=spans)
+            for x in (keys, items, ats, spans):
                 x.clear()
 
-        for key, data, a, merge, count in _told(batches):
+        for key, data, a, merge, count, sure in _told(batches):
             mine = []
             heads = [int.from_bytes(data[x : x + 8], "big") - (1 << 63) for x in a.at[merge].tolist()]
             for j, bucket in zip(merge, np.searchsorted(edges, heads, side="right").tolist(), strict=True):
@@ -237,10 +238,11 @@ def _rims(bounds: list[int]):
                 else:
                     item[3] = True  # the same bytes around: all its windows occur again
                 mine.append(item[0])
-            if merge:
+            if merge or sure:
                 keys.append(key)
                 items.append(mine)
                 ats.append(a.at[merge].tolist())
+                spans.append(np.column_stack((a.first[sure], a.last[sure] + LENGTH)).ravel().tolist())
             for j in count:
                 first, last, at = int(a.first[j]), int(a.last[j]), int(a.at[j])
                 h, p = Hashed(data[first : last + LENGTH]), np.arange(last - first + 1)
@@ -350,13 +352,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     anchored = cut(anchored.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("gram").alias("gram"), F.first("around").alias("around")))
     free(spark)
     zipped = anchored.select("key", F.posexplode(F.arrays_zip("gram", "around")).alias("nth", "a")).select("key", "nth", "a.gram", "a.around")
-    seen = cut(zipped.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n")))
+    name = F.xxhash64("key", "nth")
+    seen = cut(zipped.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first")))
     free(spark)
     grams = seen.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    seen = cut(seen.join(grams.hint("shuffle_merge"), "gram").select("gram", "around", "n", F.when(F.col("kinds") > HOT, _COUNT).otherwise(_MERGE).alias("way")))
+    seen = cut(seen.join(grams.hint("shuffle_merge"), "gram").select("gram", "around", "n", "first", F.when(F.col("kinds") > HOT, _COUNT).otherwise(_MERGE).alias("way")))
     size = seen.where(F.col("way") == _MERGE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     free(spark)
-    told = zipped.join(seen.select("gram", "around", "way").hint("shuffle_merge"), ["gram", "around"]).select("key", (F.col("nth") * 4 + F.col("way")).alias("told"))
+    stands = F.when(name == F.col("first"), F.lit(_COUNT)).otherwise(0) + F.when(F.col("n") > 1, _SURE).otherwise(0)
+    told = zipped.join(seen.hint("shuffle_merge"), ["gram", "around"]).select("key", (F.col("nth") * 8 + F.when(F.col("way") == _MERGE, _MERGE).otherwise(stands)).alias("told"))
     told = cut(told.groupBy("key").agg(F.collect_list("told").alias("told")))
     copied = anchored.where("copies > 1").select("key")
     free(spark)
@@ -368,6 +372,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     items = rims.where("items is not null").select("key", F.explode(F.arrays_zip("items", "ats")).alias("m")).select("key", F.col("m.items").alias("item"), F.col("m.ats").alias("at"))
     span = lambda low, high: F.array(F.col("at") - F.col(high), F.col("at") - F.col(low) + LENGTH).alias("spans")
     spans = items.join(found, "item").select("key", span("low", "high"))
+    spans = spans.unionByName(rims.where("size(sure) > 0").select("key", F.col("sure").alias("spans")))
     windows = rims.where("w1 is not null").select("w1", "w2", "key", "at", "off")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     counted = windows.join(again, ["w1", "w2"]).groupBy("key", "at").agg(F.min("off").alias("low"), F.max("off").alias("high"))
