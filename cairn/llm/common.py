@@ -43,9 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths of the tables that this driver has written and not yet removed.
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path := f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return path
+
+
+def written() -> list[str]:
+    return list(_written)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes written tables that nothing reads any more, through the file system that Spark knows for them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

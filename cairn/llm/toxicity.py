@@ -3,15 +3,15 @@
 Features are the words of a text and the beginnings of its words, since
 languages inflect: a stem is seen in many words that are rare by themselves.
 
-Grades 0 to GRADES: 0 is a clean text; toxic texts of the labelled sample get 1
-to GRADES by how much evidence their telling features add up to (shares of the
-sample's own quantiles). One weight per feature is shared across the ordered
-thresholds:
+Grades come from the labels alone, not from the features: 0 is a clean text, 1
+a toxic one, 2 a toxic one that is labelled as of low quality too. One weight
+per feature is shared across the ordered thresholds:
 P(grade > k) = 1 / (1 + exp(threshold_k - weights . features)). The expected
 severity is the sum of these over k.
 
 The model is fitted on at most SAMPLE labelled documents, chosen by a hash of
-their ids; every document is scored over its whole text.
+their ids (of several texts with one id the smallest is taken), on at most
+FEATURES features; every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ FEATURES, TELLING = 2048, 5.0
 TOXIC = 0.3
 #: Bytes of the beginnings of words that are features, and words and features that a task remembers.
 BEGINNINGS, REMEMBERED = range(4, 10), 400_000
-GRADES = 3
+GRADES = 2
 
 
 def features(word: bytes) -> list[bytes]:
@@ -114,11 +114,15 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE labelled documents: doc_id, text, toxic."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    """At most SAMPLE labelled documents: text, toxic, grade."""
+    quality = F.min(F.col("quality").cast("int")) if "quality" in labels.columns else F.lit(None).cast("int")
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), quality.alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most, whatever the input
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    return one.select("text", F.col("toxic").cast("long").alias("toxic"), grade.cast("long").alias("grade"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -144,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         if found:
             yield rows()
 
-    seen = sample.select("text", F.col("toxic").cast("long")).mapInArrow(distinct, "word binary, bad long, all long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
+    seen = sample.select("text", "toxic").mapInArrow(distinct, "word binary, bad long, all long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     total = seen.where(F.octet_length("word") == 0).first()
     if total is None or not 0 < total["bad"] < total["all"]:
         return None
@@ -155,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     z = (F.col("bad") - share * F.col("all")) / F.sqrt(share * (1 - share) * F.col("all"))
     inside = (F.octet_length("word") > 0) & (F.col("bad") < bad) & (F.col("all") - F.col("bad") < clean)
     telling = seen.where(inside).withColumn("odds", odds).withColumn("z", z).where(F.col("z") > TELLING).orderBy(F.desc("z"), "word").limit(FEATURES)
-    weight = {bytes(r.word): r.odds for r in telling.select("word", "odds").collect()}
-    words = list(weight)
+    words = [bytes(r.word) for r in telling.select("word").collect()]
     if not words:
         return None
     chosen = frozenset(words)
@@ -164,15 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     def counts(batches):
         known = _Known(chosen)
         for batch in batches:
-            texts = [ascii_words(text) for text in batch.column(0).to_pylist()]
-            rows, sizes = [known.counts(words) for words in texts], [len(words) for words in texts]
-            yield pa.record_batch([pa.array([list(r) for r in rows], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int64())), pa.array(sizes, pa.int64()), batch.column(1)], names=["words", "counts", "n", "toxic"])
+            rows = [known.counts(ascii_words(text)) for text in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([list(r) for r in rows], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int64())), batch.column(1)], names=["words", "counts", "grade"])
 
-    rows = sample.select("text", F.col("toxic").cast("long")).mapInArrow(counts, "words array<binary>, counts array<bigint>, n long, toxic long").collect()
-    rows = sorted(((dict(zip(map(bytes, r.words), r.counts, strict=True)), r.n, r.toxic) for r in rows), key=lambda r: (r[2], r[1], sorted(r[0].items())))
-    evidence = [sum(weight[w] * np.log1p(n) for w, n in c.items()) for c, _, _ in rows]
-    edges = np.quantile([e for e, (_, _, y) in zip(evidence, rows, strict=True) if y], [k / GRADES for k in range(1, GRADES)])
-    return Model.fit([(c, 1 + int((edges < e).sum()) if y else 0) for e, (c, _, y) in zip(evidence, rows, strict=True)], words)
+    rows = sample.select("text", "grade").mapInArrow(counts, "words array<binary>, counts array<bigint>, grade long").collect()
+    rows = [(dict(zip(map(bytes, r.words), r.counts, strict=True)), r.grade) for r in rows]
+    return Model.fit(sorted(rows, key=lambda r: (r[1], sorted(r[0].items()))), words)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,8 +180,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text has no features and the severity of its thresholds
     alone, which rounds to 0. Without toxic and clean labels severity is 0.
-    Null labels are left out; a document labelled twice counts as toxic if
-    one label says so.
+    Null labels are left out; a document labelled twice counts as toxic (and
+    as of low quality) if one label says so. Every row is scored by itself,
+    whatever its doc_id, over all its text; other columns are not read.
     """
     model = fit(docs, labels)
 
