@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import ROW, keyed, shared_path, table
+from cairn.llm.common import ROW, keyed, remove, shared_path, table, written
 from cairn.llm.exact_dedup import exact_dedup
 from cairn.llm.near_dedup import near_dedup
 from cairn.llm.packing import pack
@@ -43,11 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What earlier stages wrote for themselves goes as soon as the next table is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
+        before = written()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = shared_path(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            remove(spark, [x for x in written() if x not in before and x != path] + last)
+            last = [path]
     return docs
