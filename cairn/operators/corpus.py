@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,45 @@ def personal_data(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c.rlike(text.EMAIL)).alias("n_email"), F.count_if(c.rlike(text.CARD)).alias("n_card"), F.count_if(c.rlike(text.PHONE)).alias("n_phone"))
 
 
+# Patterns of column names that may hold personal data, tried without regard to case.
+PERSONAL_NAMES = (
+    r"(?:^|[_-])(name|full_name|first_name|last_name)(?:$|[_-])",
+    r"(email|e_mail|mail_address)",
+    r"(phone|mobile|telephone|contact_number)",
+    r"(address|street|postal_code|zip_code)",
+    r"(ssn|social_security|national_id|passport|tax_id)",
+    r"(account_id|bank_account|credit_card|card_number|patient_id|customer_id)",
+)
+
+
+def privacy_inspection(df: DataFrame) -> DataFrame:
+    """One row per column: column_name, by_name (patterns that the name has), n_email, n_phone, n_card over all rows, suspicious."""
+    values = {c: col(c).cast("string") for c in df.columns}
+    found = {c: F.struct(*[F.count_if(v.rlike(p)).alias(n) for n, p in (("n_email", text.EMAIL), ("n_phone", text.PHONE), ("n_card", text.CARD))]) for c, v in values.items()}
+    one = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(found.values())])
+    by_name = {c: sum(bool(re.search(p, c, re.I)) for p in PERSONAL_NAMES) for c in df.columns}
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(by_name[c]).cast("long").alias("by_name"), F.col(f"c{i}.n_email").alias("n_email"), F.col(f"c{i}.n_phone").alias("n_phone"), F.col(f"c{i}.n_card").alias("n_card")) for i, c in enumerate(df.columns)]
+    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.withColumn("suspicious", (F.col("by_name") > 0) | (F.col("n_email") + F.col("n_phone") + F.col("n_card") > 0))
+
+
+def duplicate_files(files: DataFrame) -> DataFrame:
+    """content_sha256, n, names of files (path, content) with the same content, and of those whose name occurs with other content: kind tells which."""
+    named = files.select(F.col("path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+    same = named.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path")).where("n > 1").select(F.lit("same_content").alias("kind"), F.col("content_sha256").alias("value"), "n", "first_path")
+    apart = named.groupBy("name").agg(F.count_distinct("content_sha256").alias("n"), F.min("path").alias("first_path")).where("n > 1").select(F.lit("same_name").alias("kind"), F.col("name").alias("value"), "n", "first_path")
+    return same.unionByName(apart)
+
+
+def paired(left: DataFrame, left_name: str, right: DataFrame, right_name: str) -> DataFrame:
+    """left_name, n_matches, right_name, confidence: high where exactly one name on the right is the same without case and punctuation."""
+    normal = lambda c: F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", "")
+    r = right.groupBy(normal(right_name).alias("k")).agg(F.count(F.lit(1)).alias("n_matches"), F.min(col(right_name)).alias("right_name"))
+    out = left.select(col(left_name).alias("left_name"), normal(left_name).alias("k")).join(r, "k", "left")
+    n = F.coalesce("n_matches", F.lit(0))
+    return out.select("left_name", n.alias("n_matches"), F.when(n == 1, F.col("right_name")).alias("right_name"), F.when(n == 1, "high").when(n > 1, "ambiguous").otherwise("none").alias("confidence"))
+
+
 def overlap(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """Rows whose normalised text occurs in the other table."""
     left = df.withColumn("_k", text.normal_question(col(column)))

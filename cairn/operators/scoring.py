@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.guards import col, is_numeric, kind_of, ratio, safe_corr
+from cairn.operators.ranks import counted_up
 
 
 def regression_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -37,6 +38,31 @@ def classification_scores(df: DataFrame, label: str, predicted: str) -> DataFram
     return s.agg(F.sum("support").alias("n"), F.try_divide(F.sum(n * F.col("recall")), total).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), F.try_divide(F.sum(n * F.col("f1")), total).alias("weighted_f1"))
 
 
+def ranking_scores(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """n, n_positive, roc_auc, average_precision, brier of a binary label (1 is positive) and a probability.
+
+    From counts per different probability, counted up in ranges: no task sees
+    all of them. Tied probabilities count half for the area, and as one step of
+    the precision-recall curve. Areas are null unless both labels occur.
+    """
+    rows = df.where(col(label).isNotNull() & col(probability).isNotNull()).select(col(label).cast("int").alias("y"), col(probability).cast("double").alias("p"))
+    brier = rows.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"))
+    up = counted_up(counts.withColumn("_one", F.lit(0)), ["_one"], "p")
+    hits_up = counted_up(counts.select("p", F.col("hits").alias("n")).withColumn("_one", F.lit(0)), ["_one"], "p").select("p", F.col("before").alias("hits_before"))
+    steps = up.join(hits_up, "p")
+    totals = counts.agg(F.sum("n").alias("all"), F.sum("hits").alias("pos"))
+    both = steps.join(F.broadcast(totals))
+    neg = F.col("all") - F.col("pos")
+    # of each step: negatives below it and half of those in it, and precision from it upwards
+    below = (F.col("before") - F.col("hits_before")) + (F.col("n") - F.col("hits")) / 2
+    precision = F.try_divide((F.col("pos") - F.col("hits_before")).cast("double"), (F.col("all") - F.col("before")).cast("double"))
+    one = both.agg(F.max("all").alias("n"), F.max("pos").alias("n_positive"), F.sum(F.col("hits") * below).alias("pairs"), F.max(F.col("pos") * neg).alias("most"), F.sum(precision * F.col("hits")).alias("area"))
+    usable = F.col("most") > 0
+    out = one.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_positive", F.lit(0)).alias("n_positive"), F.when(usable, F.try_divide("pairs", "most")).alias("roc_auc"), F.when(usable, F.try_divide("area", F.col("n_positive").cast("double"))).alias("average_precision"))
+    return out.join(F.broadcast(brier))
+
+
 def leakage(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """feature, equal_share, correlation (numbers), distinct_share, verdict (copy, suspicious, identifier or fine)."""
     y, out = col(target), []

@@ -507,3 +507,6 @@ def gov_same(t: Tables) -> DataFrame:
 @query("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_counts(t: Tables) -> DataFrame:
     return rounded(windowed_counts(t.events))
+
+
+from cairn.plans import more  # noqa: E402, F401  (adds its queries to QUERIES and ORACLE_SQL)
