@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.guards import col, finite, is_float, is_numeric, kind_of, same_family
-from cairn.functions.text import name_similarity, normal_name
+from cairn.functions.guards import col, family, finite, is_float, is_numeric, kind_of, same_family
+from cairn.functions.text import normal_name
+from cairn.operators.ranks import distinct_counts
 
 
 @dataclass(frozen=True)
@@ -39,9 +41,11 @@ def qualified(alias: str, df: DataFrame, columns: list[str] | None = None) -> Da
 
 
 def cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> str:
-    """one_to_one, one_to_many (the left key is unique), many_to_one or many_to_many. Runs two probes that stop at the first repeated key."""
-    unique = [df.select(finite(df, k).alias("k")).where("k is not null").groupBy("k").count().where("count > 1").isEmpty() for df, k in ((left, left_key), (right, right_key))]
-    return {(True, True): "one_to_one", (True, False): "one_to_many", (False, True): "many_to_one", (False, False): "many_to_many"}[tuple(unique)]
+    """one_to_one, one_to_many (the left key is unique), many_to_one or many_to_many, from one count of both sides' keys."""
+    side = lambda df, k, n: df.select(finite(df, k).alias("k"), F.lit(n).alias("l"), F.lit(1 - n).alias("r"))
+    counts = side(left, left_key, 1).unionAll(side(right, right_key, 0)).where("k is not null").groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    most = counts.agg(F.max("l").alias("l"), F.max("r").alias("r")).first()
+    return {(False, False): "one_to_one", (False, True): "one_to_many", (True, False): "many_to_one", (True, True): "many_to_many"}[(most["l"] or 0) > 1, (most["r"] or 0) > 1]
 
 
 def join_chain(sources: dict[str, DataFrame], joins: list[Join], guard: bool = True) -> DataFrame:
@@ -149,31 +153,48 @@ def overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     return n.withColumns({"overlap": share(F.least("left_distinct", "right_distinct")), "left_coverage": share(F.col("left_distinct")), "right_coverage": share(F.col("right_distinct"))})
 
 
-def recommend_joins(tables: dict[str, DataFrame], least: float = 0.0) -> list[dict]:
-    """Compatible column pairs of all tables, best first, judged over all rows.
+def pair_overlaps(tables: dict[str, DataFrame]) -> DataFrame:
+    """left, right, common: different key values that two columns of different tables share, for all pairs of the same type family at once.
+
+    Columns are told table.column. Every value is looked at once with the set of
+    columns that have it; a set is no larger than the number of columns.
+    """
+    parts = []
+    for t, df in tables.items():
+        for c in df.columns:
+            if not same_family(df.schema[c].dataType, df.schema[c].dataType):
+                continue
+            kind = df.schema[c].dataType
+            value = (finite(df, c).cast("double") + F.lit(0.0) if is_numeric(kind) else col(c)).cast("string")
+            parts.append((df, F.struct(F.lit(f"{t}.{c}").alias("name"), F.lit(t).alias("t"), F.lit(family(kind)).alias("family"), value.alias("v"))))
+    long = reduce(DataFrame.unionByName, [df.select(F.explode(F.array(*[p for d, p in parts if d is df])).alias("r")).select("r.*") for df in tables.values()])
+    held = long.where("v is not null").distinct().groupBy("family", "v").agg(F.sort_array(F.collect_set(F.struct("t", "name"))).alias("s")).where(F.size("s") > 1)
+    ends = held.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a.t < b.t")
+    return ends.groupBy(F.col("a.name").alias("left"), F.col("b.name").alias("right")).agg(F.count(F.lit(1)).alias("common"))
+
+
+def recommend_joins(tables: dict[str, DataFrame], least: float = 0.0, most: int = 50) -> list[dict]:
+    """The ``most`` best of all column pairs of the same type family that share a key, judged over all rows.
 
     Score: 0.30 for the same normal name, 0.25 for compatible types, 0.20 of
     the smaller uniqueness, 0.10 of the keys that are not null, 0.15 of the
-    overlap. Runs one aggregate a table and one overlap a pair.
+    overlap. Runs two aggregates a table and one over the values of all.
     """
     stats = {}
     for t, df in tables.items():
         keys = [c for c in df.columns if same_family(df.schema[c].dataType, df.schema[c].dataType)]
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(finite(df, c)).alias(f"v:{c}") for c in keys], *[F.count_distinct(finite(df, c)).alias(f"d:{c}") for c in keys]).first()
-        stats[t] = {c: (row[f"d:{c}"] / max(row[f"v:{c}"], 1), 1 - row[f"v:{c}"] / max(row["n"], 1)) for c in keys}
-    out, names = [], list(tables)
-    for i, s in enumerate(names):
-        for t in names[i + 1 :]:
-            for a, (ua, na) in stats[s].items():
-                for b, (ub, nb) in stats[t].items():
-                    if not same_family(tables[s].schema[a].dataType, tables[t].schema[b].dataType) or name_similarity(a, b) < 0.8:
-                        continue
-                    o = overlap(tables[s], a, tables[t], b).first()
-                    if not o["common"]:
-                        continue
-                    same = normal_name(a) == normal_name(b)
-                    score = 0.30 * same + 0.25 + 0.20 * min(ua, ub) + 0.10 * (1 - max(na, nb)) + 0.15 * o["overlap"]
-                    kind = {(True, True): "one_to_one", (True, False): "one_to_many", (False, True): "many_to_one", (False, False): "many_to_many"}[ua == 1, ub == 1]
-                    if score >= least:
-                        out.append({"left": f"{s}.{a}", "right": f"{t}.{b}", "score": score, "overlap": o["common"], "cardinality": kind, "same_name": same})
-    return sorted(out, key=lambda r: (-r["score"], r["left"], r["right"]))
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(finite(df, c)).alias(f"v:{c}") for c in keys]).first()
+        kinds = distinct_counts(df.select(*[finite(df, c).alias(c) for c in keys]), keys).first()
+        for c in keys:
+            stats[f"{t}.{c}"] = (kinds[f"n_distinct:{c}"], counts[f"v:{c}"], counts["n"])
+    out = []
+    for r in pair_overlaps(tables).collect():  # one row a pair of columns
+        (da, va, na), (db, vb, nb) = stats[r.left], stats[r.right]
+        ua, ub = da / max(va, 1), db / max(vb, 1)
+        same = normal_name(r.left.split(".", 1)[1]) == normal_name(r.right.split(".", 1)[1])
+        absent = max(1 - va / max(na, 1), 1 - vb / max(nb, 1))
+        score = 0.30 * same + 0.25 + 0.20 * min(ua, ub) + 0.10 * (1 - absent) + 0.15 * r.common / max(min(da, db), 1)
+        kind = {(True, True): "one_to_one", (True, False): "one_to_many", (False, True): "many_to_one", (False, False): "many_to_many"}[ua == 1, ub == 1]
+        if score >= least:
+            out.append({"left": r.left, "right": r.right, "score": score, "overlap": r.common, "cardinality": kind, "same_name": same})
+    return sorted(out, key=lambda r: (-round(r["score"], 12), r["left"], r["right"]))[:most]

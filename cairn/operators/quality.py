@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.guards import col, finite, is_float, is_numeric, kind_of
-from cairn.operators.ranks import percentiles
+from cairn.operators.ranks import distinct_counts, percentiles
 
 #: Rows that a finding shows as examples.
 EXAMPLES = 5
@@ -27,14 +27,6 @@ def _empty(df: DataFrame, c: str) -> Column:
     return F.count_if(col(c) == "") if isinstance(kind_of(df, c), T.StringType) else F.lit(0).cast("long")
 
 
-def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: how many different values each column has (-0.0 is 0.0). Values are counted by column, not rows by all columns."""
-    text = lambda c: (F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c) + F.lit(0.0)) if is_float(kind_of(df, c)) else col(c)).cast("string")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
-    counts = long.where("v is not null").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"n_distinct:{c}") for i, c in enumerate(columns)])
-
-
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, n_rows, n_null, n_empty, n_nonfinite, n_distinct (exact), and minimum, maximum, mean, median of numbers."""
     columns, out = columns or df.columns, {}
@@ -45,7 +37,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             f"n_rows:{c}": F.count(F.lit(1)), f"n_null:{c}": F.count_if(col(c).isNull()), f"n_empty:{c}": _empty(df, c),
             f"n_nonfinite:{c}": F.count(col(c)) - F.count(finite(df, c)), f"minimum:{c}": F.min(x), f"maximum:{c}": F.max(x), f"mean:{c}": F.avg(x),
         }
-    one = df.agg(*[v.alias(k) for k, v in out.items()]).join(F.broadcast(_distinct(df, columns)))
+    one = df.agg(*[v.alias(k) for k, v in out.items()]).join(F.broadcast(distinct_counts(df, columns)))
     if numbers:
         one = one.join(F.broadcast(percentiles(df, {f"q:{c}": finite(df, c) for c in numbers}, [0.5])))
     for c in columns:
@@ -144,9 +136,3 @@ def business_key_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def examples(df: DataFrame, group: str, order: str, k: int = EXAMPLES) -> DataFrame:
     """The first k rows of each group; groups with many rows are cut before the shuffle's sort by Spark's group limit."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(col(group)).orderBy(col(order)))).where(F.col("nth") <= k)
-
-
-def table_digest(df: DataFrame) -> DataFrame:
-    """One row: n_rows and a digest that does not depend on row order (sums of two 64-bit hashes)."""
-    h = lambda salt: F.xxhash64(F.lit(salt), *[col(c) for c in df.columns]).cast(T.DecimalType(38, 0))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat_ws(",", F.sum(h(1)).cast("string"), F.sum(h(2)).cast("string")), 256).alias("digest"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.guards import col, is_float, kind_of
+
 
 def counted_up(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counts`` (keys, value, n) with before: how many rows of the same keys have a smaller value.
@@ -60,3 +62,11 @@ def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float])
     long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("x")) for i, c in enumerate(columns.values())])).alias("r")).select("r.i", "r.x")
     found = percentiles_by(long, ["i"], "x", shares)
     return found.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(columns)])
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n_distinct:<column> of each column (-0.0 is 0.0). Values are counted by column, not rows by all columns."""
+    text = lambda c: (F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c) + F.lit(0.0)) if is_float(kind_of(df, c)) else col(c)).cast("string")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+    counts = long.where("v is not null").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"n_distinct:{c}") for i, c in enumerate(columns)])

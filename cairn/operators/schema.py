@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import permutations, product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.guards import col, finite, is_float, is_numeric, same_family
 from cairn.functions.text import name_similarity, normal_name
-from cairn.operators.analytics import overlap
+from cairn.operators.analytics import pair_overlaps
+from cairn.operators.ranks import distinct_counts
 
 
 def key_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, n_rows, n_null, n_distinct, n_duplicates, unique_ratio, candidate_key; exact, one aggregate."""
+    """column_name, n_rows, n_null, n_distinct, n_duplicates, unique_ratio, candidate_key; exact, values counted by column."""
     columns = columns or df.columns
-    rows = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), F.count_if(finite(df, c).isNull()).alias("n_null"), F.count_distinct(finite(df, c)).alias("n_distinct")) for c in columns]
-    one = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    valid_rows = df.select(*[finite(df, c).alias(c) for c in columns])
+    one = valid_rows.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(col(c).isNull()).alias(f"n_null:{c}") for c in columns]).join(F.broadcast(distinct_counts(valid_rows, columns)))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), F.col(f"`n_null:{c}`").alias("n_null"), F.col(f"`n_distinct:{c}`").alias("n_distinct")) for c in columns]
+    one = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     valid = F.col("n_rows") - F.col("n_null")
     return one.withColumns({"n_duplicates": valid - F.col("n_distinct"), "unique_ratio": F.try_divide(F.col("n_distinct").cast("double"), valid)}).withColumn("candidate_key", (F.col("n_rows") > 0) & (F.col("n_null") == 0) & (F.col("n_duplicates") == 0))
 
@@ -31,29 +36,35 @@ def role(name: str, kind: T.DataType, unique_ratio: float) -> str:
     return "descriptive"
 
 
+# What a reference's score is made of, and the scores from which it counts as high or medium.
+WEIGHTS = {"name": 0.3, "type": 0.2, "key": 0.2, "coverage": 0.15, "overlap": 0.05, "not_null": 0.1}
+HIGH, MEDIUM, COVERED, SIMILAR = 0.85, 0.65, 0.9, 0.8
+
+
 def relationships(tables: dict[str, DataFrame]) -> list[dict]:
-    """Directed references source.column -> target.column with coverage, cardinality and status.
+    """Directed references source.column -> target.column with coverage, cardinality, status and score.
 
-    Pairs are those of like names and types. A target is a candidate key;
-    inferred needs nine tenths of the source's keys in it. Runs one aggregate
-    a table and one overlap a pair.
+    Pairs are those of like names (without a table's prefix) and types. A
+    target is a candidate key; inferred needs nine tenths of the source's keys
+    in it. Runs one aggregate a table and one over the values of all.
     """
     stats = {t: {r.column_name: r for r in key_statistics(df).collect()} for t, df in tables.items()}
+    common = {(r.left, r.right): r.common for r in pair_overlaps(tables).collect()}  # one row a pair of columns
     out = []
-    for s, a_df in tables.items():
-        for t, b_df in tables.items():
-            for a in a_df.columns if s != t else []:
-                for b in b_df.columns:
-                    similar = name_similarity(a.split("_", 1)[-1], b.split("_", 1)[-1])
-                    if similar < 0.8 or not same_family(a_df.schema[a].dataType, b_df.schema[b].dataType) or not stats[t][b].candidate_key:
-                        continue
-                    if stats[s][a].candidate_key and s > t:
-                        continue
-                    o = overlap(a_df, a, b_df, b).first()
-                    kind = "one_to_one" if stats[s][a].candidate_key else "many_to_one"
-                    status = "inferred" if o["left_coverage"] >= 0.9 else "ambiguous" if o["common"] else "rejected"
-                    score = 0.4 * o["left_coverage"] + 0.4 * similar + 0.2
-                    out.append({"source": f"{s}.{a}", "target": f"{t}.{b}", "cardinality": kind, "coverage": o["left_coverage"], "status": status, "score": score, "confidence": "high" if score >= 0.85 else "medium" if score >= 0.65 else "low"})
+    for (s, a_df), (t, b_df) in permutations(tables.items(), 2):
+        for a, b in product(a_df.columns, b_df.columns):
+            source, target = stats[s][a], stats[t][b]
+            similar = name_similarity(a.split("_", 1)[-1], b.split("_", 1)[-1])
+            if similar < SIMILAR or not same_family(a_df.schema[a].dataType, b_df.schema[b].dataType) or not target.candidate_key or (source.candidate_key and s > t):
+                continue
+            shared = common.get((f"{s}.{a}", f"{t}.{b}"), common.get((f"{t}.{b}", f"{s}.{a}"), 0))
+            coverage = shared / source.n_distinct if source.n_distinct else 0.0
+            w = WEIGHTS
+            score = w["name"] * similar + w["type"] + w["key"] + w["coverage"] * coverage + w["overlap"] * (shared > 0) + w["not_null"] * (1 - source.n_null / max(source.n_rows, 1))
+            out.append({
+                "source": f"{s}.{a}", "target": f"{t}.{b}", "cardinality": "one_to_one" if source.candidate_key else "many_to_one", "coverage": coverage,
+                "status": "inferred" if coverage >= COVERED else "ambiguous" if shared else "rejected", "score": round(score, 4), "confidence": "high" if score >= HIGH else "medium" if score >= MEDIUM else "low",
+            })
     return sorted(out, key=lambda r: (r["source"], r["target"]))
 
 

@@ -93,9 +93,9 @@ def evidence_nulls(t: Tables) -> DataFrame:
     return analytics.join_evidence(left, "k", right, "k", "left")
 
 
-@query("join_anti_customers_without_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti_customers_without_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def without_orders(t: Tables) -> DataFrame:
-    return analytics.unmatched(t.customer, "c_custkey", t.orders, "o_custkey").select("c_custkey", "c_name")
+    return analytics.unmatched(t.customer, "c_custkey", t.orders.where("o_totalprice > 300000"), "o_custkey").select("c_custkey", "c_name")
 
 
 @query("group_global", "SELECT count(*) AS n, sum(CAST(l_linenumber AS HUGEINT))::DECIMAL(38,0) AS lines, count(DISTINCT l_suppkey) AS suppliers, min(l_shipdate) AS first_ship, round(avg(l_discount), 6) AS discount FROM lineitem")
@@ -120,10 +120,16 @@ def key_overlap(t: Tables) -> DataFrame:
     return analytics.overlap(t.orders, "o_custkey", t.customer, "c_custkey")
 
 
-@query("join_recommend")
+#: Columns of four tables by type family, with the normal form of their names.
+_KEYS = {"customer": {"number": ["c_custkey", "c_nationkey", "c_acctbal"], "string": ["c_name", "c_mktsegment"]}, "nation": {"number": ["n_nationkey", "n_regionkey"], "string": ["n_name"]}, "orders": {"number": ["o_orderkey", "o_custkey", "o_totalprice"], "string": ["o_orderstatus", "o_orderpriority"]}, "region": {"number": ["r_regionkey"], "string": ["r_name"]}}
+_KEY_PAIRS = [(s, a, t, b) for s in _KEYS for t in _KEYS if s < t for kind in _KEYS[s] for a in _KEYS[s][kind] for b in _KEYS[t][kind]]
+_RECOMMEND = " UNION ALL ".join(f"SELECT '{s}.{a}' AS left_column, '{t}.{b}' AS right_column, (SELECT count(DISTINCT {a}) FROM {s}) AS da, (SELECT count(DISTINCT {b}) FROM {t}) AS db, (SELECT count(*) FROM {s}) AS na, (SELECT count(*) FROM {t}) AS nb, (SELECT count(DISTINCT {a}) FROM {s} WHERE {a} IN (SELECT {b} FROM {t})) AS overlap" for s, a, t, b in _KEY_PAIRS)
+
+
+@query("join_recommend", f"""SELECT left_column, right_column, round(0.25 + 0.2 * least(da / na, db / nb) + 0.1 + 0.15 * overlap / least(da, db), 6) AS score, overlap, CASE WHEN da = na THEN CASE WHEN db = nb THEN 'one_to_one' ELSE 'one_to_many' END ELSE CASE WHEN db = nb THEN 'many_to_one' ELSE 'many_to_many' END END AS cardinality FROM ({_RECOMMEND}) WHERE overlap > 0 ORDER BY score DESC, 1, 2 LIMIT 50""")
 def recommend(t: Tables) -> DataFrame:
-    rows = analytics.recommend_joins({"nation": t.nation, "region": t.region, "customer": t.customer.select("c_custkey", "c_nationkey"), "orders": t.orders.select("o_orderkey", "o_custkey")})
-    return t.spark.createDataFrame([(r["left"], r["right"], float(r["score"]), int(r["overlap"]), r["cardinality"]) for r in rows], "left_column string, right_column string, score double, overlap long, cardinality string")
+    rows = analytics.recommend_joins({"nation": t.nation, "region": t.region, "customer": t.customer, "orders": t.orders})
+    return t.spark.createDataFrame([(r["left"], r["right"], round(float(r["score"]), 6), int(r["overlap"]), r["cardinality"]) for r in rows], "left_column string, right_column string, score double, overlap long, cardinality string")
 
 
 # predicates
@@ -371,9 +377,13 @@ def schema_orphans(t: Tables) -> DataFrame:
     return schema.orphans(t.lineitem.select("l_orderkey", "l_partkey"), "l_partkey", t.part.where("p_size < 40"), "p_partkey")
 
 
-@query("schema_relationships")
+_REFERENCES = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+_NAMES = ("SELECT 'nation.n_name' AS source, 'region.r_name' AS target, 'one_to_one' AS cardinality, (SELECT avg((n_name IN (SELECT r_name FROM region))::INT) FROM nation) AS coverage, 'rejected' AS status, 0.8 AS score UNION ALL SELECT 'customer.c_name', 'nation.n_name', 'one_to_one', 0.0, 'rejected', 0.8 UNION ALL SELECT 'customer.c_name', 'region.r_name', 'one_to_one', 0.0, 'rejected', 0.8")
+
+
+@query("schema_relationships", " UNION ALL ".join([_NAMES, *(f"SELECT '{s}.{a}', '{t}.{b}', 'many_to_one', c, CASE WHEN c >= 0.9 THEN 'inferred' WHEN c > 0 THEN 'ambiguous' ELSE 'rejected' END, round(0.3 + 0.4 + 0.15 * c + 0.05 * (c > 0)::INT + 0.1, 4) FROM (SELECT avg(({a} IN (SELECT {b} FROM {t}))::INT) AS c FROM (SELECT DISTINCT {a} FROM {s}))" for s, a, t, b in _REFERENCES)]))
 def schema_relationships(t: Tables) -> DataFrame:
-    found = schema.relationships({"customer": t.customer.select("c_custkey", "c_nationkey"), "nation": t.nation, "region": t.region, "orders": t.orders.select("o_orderkey", "o_custkey")})
+    found = schema.relationships({"customer": t.customer, "nation": t.nation, "region": t.region, "orders": t.orders})
     return t.spark.createDataFrame([(r["source"], r["target"], r["cardinality"], float(r["coverage"]), r["status"], float(r["score"])) for r in found], "source string, target string, cardinality string, coverage double, status string, score double")
 
 
@@ -457,9 +467,9 @@ def ml_chronological(t: Tables) -> DataFrame:
     return scoring.chronological_split(t.orders, "o_orderdate").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml_hash_split_is_disjoint", "SELECT CAST(0 AS BIGINT) AS n_shared")
+@query("ml_split_leakage", "SELECT l_partkey AS group_value, count(DISTINCT l_orderkey % 3) AS n_splits, count(*) AS n_rows FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey % 3) > 1")
 def ml_split(t: Tables) -> DataFrame:
-    return corpus.group_leakage(scoring.hash_split(t.lineitem, "l_orderkey"), "l_orderkey", "split").agg(F.count(F.lit(1)).alias("n_shared"))
+    return corpus.group_leakage(t.lineitem.withColumn("split", F.expr("l_orderkey % 3")), "l_partkey", "split")
 
 
 # corpora

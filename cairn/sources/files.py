@@ -63,21 +63,31 @@ def read_xml(spark: SparkSession, path: str, record: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, record: str | None = None) -> DataFrame:
-    """The reader of the path's extension; an unknown extension is an error."""
+    """The reader of the path's extension; an unknown extension is an error, and so are JSON texts nested too deep or with a name twice."""
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending in ("csv", "tsv"):
         return read_delimited(spark, path, "," if ending == "csv" else "\t")
-    if ending == "json":
-        return read_json(spark, path)
-    if ending in ("jsonl", "ndjson"):
-        return read_lines(spark, path)
+    if ending in ("json", "jsonl", "ndjson"):
+        from cairn.sources.sheets import json_faults
+
+        faults = [(r.fault, r.n) for r in json_faults(spark, path, ending != "json").collect()]  # three kinds at most
+        if faults:
+            raise ValueError(f"{path!r} is not taken: {faults}")
+        return read_json(spark, path) if ending == "json" else read_lines(spark, path)
     if ending == "xml":
-        if not record:
-            raise ValueError("XML needs the name of the record element")
-        return read_xml(spark, path, record)
+        from cairn.sources.sheets import read_xml_found
+
+        return read_xml(spark, path, record) if record else read_xml_found(spark, path)
+    if ending == "xlsx":
+        from cairn.sources.sheets import read_sheets
+
+        sheets = read_sheets(spark, path)
+        if len(sheets) != 1:
+            raise ValueError(f"{path!r} has the sheets {sorted(sheets)}; use read_sheets")
+        return next(iter(sheets.values()))
     if ending == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"no reader for {path!r}: csv, tsv, json, jsonl, ndjson, xml and parquet are known")
+    raise ValueError(f"no reader for {path!r}: csv, tsv, json, jsonl, ndjson, xml, xlsx and parquet are known")
 
 
 def content_summary(df: DataFrame) -> DataFrame:
@@ -99,12 +109,15 @@ def content_summary(df: DataFrame) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str) -> dict:
-    """Writes the rows, reads them again and returns their summary; a difference is an error."""
+    """Writes the rows, reads them again and returns their summary; a difference from the rows' own columns, counts or digest is an error."""
     df.write.option("compression", "snappy").parquet(path)
     back = df.sparkSession.read.parquet(path)
     if back.columns != df.columns:
         raise ValueError(f"{path!r} has columns {back.columns}, not {df.columns}")
-    return content_summary(back).first().asDict()
+    given, got = (content_summary(x).first().asDict() for x in (df, back))
+    if given != got:
+        raise ValueError(f"{path!r} holds {got}, not {given}")
+    return got
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
