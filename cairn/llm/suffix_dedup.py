@@ -39,7 +39,7 @@ HOT, BUCKET = 4096, 20_000
 #: Suffixes that are looked at for each bucket to find where the ranges begin; it bears on the balance of tasks alone.
 SAMPLED = 50
 #: Bytes of suffixes that a task holds before it closes its runs.
-HELD = 32 << 20
+HELD = 8 << 20
 
 _WINDOWS = LENGTH - GRAM + 1
 _LEFT = LENGTH - GRAM
@@ -368,15 +368,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     rims = cut(texts.join(told.hint("shuffle_merge"), "key").mapInArrow(_rims(bounds), _RIM))
     free(spark)
     runs = rims.where("run is not null").select("bucket", "run").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket")
-    found = runs.mapInArrow(_merged, "item bigint, low int, high int")
+    # each of these is written by itself, so that no task holds the buffers of several joins
+    found = cut(runs.mapInArrow(_merged, "item bigint, low int, high int"))
+    free(spark)
     items = rims.where("items is not null").select("key", F.explode(F.arrays_zip("items", "ats")).alias("m")).select("key", F.col("m.items").alias("item"), F.col("m.ats").alias("at"))
     span = lambda low, high: F.array(F.col("at") - F.col(high), F.col("at") - F.col(low) + LENGTH).alias("spans")
     spans = items.join(found, "item").select("key", span("low", "high"))
     spans = spans.unionByName(rims.where("size(sure) > 0").select("key", F.col("sure").alias("spans")))
     windows = rims.where("w1 is not null").select("w1", "w2", "key", "at", "off")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    counted = windows.join(again, ["w1", "w2"]).groupBy("key", "at").agg(F.min("off").alias("low"), F.max("off").alias("high"))
-    spans = spans.unionByName(counted.select("key", span("low", "high")))
+    counted = windows.join(again.hint("shuffle_merge"), ["w1", "w2"]).groupBy("key", "at").agg(F.min("off").alias("low"), F.max("off").alias("high"))
+    spans = spans.unionByName(cut(counted.select("key", span("low", "high"))))
+    free(spark)
     marked = spans.withColumn("copied", F.lit(False)).unionByName(copied.select("key", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copied")))
     out = cut(marked.groupBy("key").agg(F.max("copied").alias("copied"), F.flatten(F.collect_list("spans")).alias("spans")))
     free(spark)

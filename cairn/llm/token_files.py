@@ -92,7 +92,7 @@ def re_pair(ids: np.ndarray, base: int = BASE, often: int = OFTEN) -> tuple[np.n
     exact = False
     while len(slots):
         counts[_DEAD] = 0
-        at = np.flatnonzero(counts[slots] >= often)
+        at = np.flatnonzero((counts >= often)[slots])
         left, right = seq[at], seq[at + 1]
         stay = _apart(at, left == right)
         at, key = at[stay], left[stay].astype(np.uint64) << np.uint64(32) | right[stay]
