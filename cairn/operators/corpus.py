@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text
@@ -123,3 +123,76 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.exceptAll(right).agg(F.count(F.lit(1)).alias("only_left"))
     b = right.exceptAll(left).agg(F.count(F.lit(1)).alias("only_right"))
     return a.join(F.broadcast(b))  # one row each
+
+
+#: Texts that others are compared with at most: they go to every task.
+QUERIES = 20_000
+
+
+def similar_texts(queries: DataFrame, rows: DataFrame, key: str, column: str, least: float = 0.55) -> DataFrame:
+    """query_key, key, similarity of every row whose normalised text has a matching ratio of ``least`` or more with one of the queries.
+
+    A stated set of at most QUERIES texts is held against all rows, in the rows'
+    own tasks; counts of letters bound the ratio, so few pairs are aligned and
+    none is lost. A row is not compared with the query of its own key.
+    """
+    import difflib
+
+    import numpy as np
+    import pyarrow as pa
+
+    clean = lambda df: df.select(col(key).cast("long").alias("k"), F.trim(F.regexp_replace(F.lower(col(column)), r"(?U)\W+", " ")).alias("t")).where("t <> ''")
+    asked = [(r.k, r.t) for r in clean(queries).limit(QUERIES + 1).collect()]
+    if len(asked) > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries")
+
+    def letters(text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % 251, minlength=251)
+
+    def run(batches):
+        counts = np.array([letters(t) for _, t in asked]).reshape(len(asked), 251)
+        lengths = counts.sum(1)
+        for batch in batches:
+            found = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = letters(t)
+                bound = 2 * np.minimum(counts, own).sum(1) / (lengths + own.sum())
+                for i in np.flatnonzero(bound >= least).tolist():
+                    if asked[i][0] != k and (ratio := difflib.SequenceMatcher(None, asked[i][1], t).ratio()) >= least:
+                        found.append((asked[i][0], k, round(ratio, 3)))
+            yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*found, strict=True) if found else ((),) * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_key", "key", "similarity"])
+
+    return clean(rows).mapInArrow(run, "query_key long, key long, similarity double")
+
+
+# Objectives of a chart and the chart that each gets where nothing else decides.
+BY_OBJECTIVE = {
+    "trend": "line_chart", "time_series": "line_chart", "ranking": "ranked_bar", "comparison": "ranked_bar", "composition": "stacked_bar", "distribution": "histogram", "correlation": "scatter_plot", "relationship": "scatter_plot",
+    "geography": "map_symbol", "geospatial": "map_symbol", "hierarchy": "treemap", "conversion": "funnel", "process": "funnel", "flow": "sankey", "cross_tab": "matrix_pivot",
+    "two_dimensional_intensity": "heatmap", "current_value": "kpi_scorecard", "kpi": "kpi_scorecard", "detail": "table",
+}
+
+
+def chart_for(objective: Column, n_categories: Column, n_series: Column, has_time: Column, enough: Column) -> Column:
+    """The chart of an objective: a table where data are too few or the objective says nothing."""
+    named = F.create_map(*[F.lit(x) for pair in BY_OBJECTIVE.items() for x in pair])[objective]
+    special = (
+        F.when(objective.isin("trend", "time_series") & ~has_time, "table")
+        .when(objective.isin("ranking", "comparison") & (n_series > 1) & (n_categories <= 20), "grouped_bar")
+        .when((objective == "composition") & n_categories.between(2, 6), "donut_chart")
+        .when((objective == "distribution") & (n_categories > 1), "box_plot")
+    )
+    return F.when(~enough, "table").otherwise(F.coalesce(special, named, F.lit("table")))
+
+
+def record_digests(df: DataFrame, key: str) -> DataFrame:
+    """key and record_sha256: the digest of each row's canonical JSON (sorted names, values as text)."""
+    body = text.canonical_json({c: col(c).cast("string") for c in df.columns})
+    return df.select(col(key).alias("key"), F.sha2(body, 256).alias("record_sha256"))
+
+
+def bundle_faults(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """key and fault (changed, lost or added) of records against a bundle's manifest (key, record_sha256)."""
+    both = manifest.withColumnRenamed("record_sha256", "then").join(records.withColumnRenamed("record_sha256", "now"), "key", "full")
+    fault = F.when(F.col("now").isNull(), "lost").when(F.col("then").isNull(), "added").when(F.col("now") != F.col("then"), "changed")
+    return both.select("key", fault.alias("fault")).where("fault is not null")

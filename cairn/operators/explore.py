@@ -46,8 +46,10 @@ def box_plot(df: DataFrame, column: str) -> DataFrame:
 
 
 def temporal_summary(df: DataFrame, column: str) -> DataFrame:
+    """n_valid, first, last, whole days and seconds (with fractions; days of a date) between them."""
     c = col(column)
-    return df.agg(F.count(c).alias("n_valid"), F.min(c).alias("first"), F.max(c).alias("last"), F.datediff(F.max(c), F.min(c)).cast("long").alias("coverage_days"))
+    seconds = F.timestamp_diff("MICROSECOND", F.min(c).cast("timestamp"), F.max(c).cast("timestamp")) / 1e6
+    return df.agg(F.count(c).alias("n_valid"), F.min(c).alias("first"), F.max(c).alias("last"), F.datediff(F.max(c), F.min(c)).cast("long").alias("coverage_days"), seconds.alias("coverage_seconds"))
 
 
 def pair_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -77,9 +79,30 @@ def group_summary(df: DataFrame, category: str, value: str) -> DataFrame:
     return out.join(percentiles_by(rows, ["category"], "x", [0.5]).select("category", F.col("q")[0].alias("median")), "category")
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b, n of all pairs of values that occur."""
-    return df.select(col(a).cast("string").alias("a"), col(b).cast("string").alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def contingency(df: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
+    """a, b, n of all pairs of values that occur; ``most``: of the first labels of each side in their order, labels without a count there left out."""
+    cells = df.select(col(a).cast("string").alias("a"), col(b).cast("string").alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if most:
+        for side in ("a", "b"):
+            cells = cells.join(F.broadcast(cells.select(side).distinct().orderBy(side).limit(most)), side, "left_semi")
+    return cells
+
+
+def eda_report(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+    """column_name, section, item, value: for numbers their summary and histogram, for others their k most frequent values."""
+    out = None
+    for c in columns:
+        if is_numeric(kind_of(df, c)):
+            one = numeric_summary(df, c)
+            names = [n for n in one.columns]
+            rows = one.select(F.explode(F.array(*[F.struct(F.lit("summary").alias("section"), F.lit(n).alias("item"), F.col(n).cast("double").alias("value")) for n in names])).alias("r")).select("r.*")
+            rows = rows.unionByName(histogram(df, c).select(F.lit("histogram").alias("section"), F.col("bin").cast("string").alias("item"), F.col("n").cast("double").alias("value")))
+        else:
+            top = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+            rows = top.orderBy(F.desc("value"), "item").limit(k).select(F.lit("frequency").alias("section"), "item", "value")
+        rows = rows.select(F.lit(c).alias("column_name"), "section", "item", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

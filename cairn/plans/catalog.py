@@ -321,7 +321,7 @@ def eda_box(t: Tables) -> DataFrame:
     return rounded(explore.box_plot(t.events, "value"))
 
 
-@query("eda_temporal", "SELECT count(o_orderdate) AS n_valid, min(o_orderdate) AS first, max(o_orderdate) AS last, datediff('day', min(o_orderdate), max(o_orderdate)) AS coverage_days FROM orders")
+@query("eda_temporal", "SELECT count(o_orderdate) AS n_valid, min(o_orderdate) AS first, max(o_orderdate) AS last, datediff('day', min(o_orderdate), max(o_orderdate)) AS coverage_days, epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS coverage_seconds FROM orders")
 def eda_temporal(t: Tables) -> DataFrame:
     return explore.temporal_summary(t.orders, "o_orderdate")
 

@@ -260,3 +260,41 @@ def ml_suitability(t: Tables) -> DataFrame:
 def ts_calendar(t: Tables) -> DataFrame:
     angle = 2 * math.pi * F.pmod(F.col("month"), F.lit(12)) / 12
     return series.monthly(t.orders, "o_orderdate", "o_totalprice").select("month", (F.round(F.sin(angle), 6) + 0.0).alias("s"), (F.round(F.cos(angle), 6) + 0.0).alias("c"))
+
+
+# corpora and charts
+
+@query("gov_similar_prompts")
+def gov_similar(t: Tables) -> DataFrame:
+    prompts = t.conversations.where("turn = 0")
+    return corpus.similar_texts(prompts.where("conv_id % 100 = 0"), prompts, "conv_id", "text")
+
+
+@query("chart_objectives", """WITH o AS (SELECT n_nationkey, ['trend', 'ranking', 'composition', 'distribution', 'flow', 'unknown'][n_nationkey % 6 + 1] AS objective, n_nationkey % 9 AS cats, n_nationkey % 2 + 1 AS series FROM nation)
+SELECT n_nationkey, CASE WHEN n_nationkey = 24 THEN 'table' WHEN objective = 'trend' THEN CASE WHEN n_nationkey % 4 = 0 THEN 'table' ELSE 'line_chart' END WHEN objective = 'ranking' THEN CASE WHEN series > 1 THEN 'grouped_bar' ELSE 'ranked_bar' END WHEN objective = 'composition' THEN CASE WHEN cats BETWEEN 2 AND 6 THEN 'donut_chart' ELSE 'stacked_bar' END WHEN objective = 'distribution' THEN CASE WHEN cats > 1 THEN 'box_plot' ELSE 'histogram' END WHEN objective = 'flow' THEN 'sankey' ELSE 'table' END AS chart FROM o""")
+def chart_objectives(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    objective = F.element_at(F.array(*[F.lit(x) for x in ("trend", "ranking", "composition", "distribution", "flow", "unknown")]), (k % 6 + 1).cast("int"))
+    return t.nation.select("n_nationkey", corpus.chart_for(objective, k % 9, k % 2 + 1, k % 4 != 0, k != 24).alias("chart"))
+
+
+@query("gov_bundle_faults", "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'changed' WHEN n_nationkey % 5 = 1 THEN 'lost' ELSE 'added' END AS fault FROM nation WHERE n_nationkey % 5 < 3")
+def gov_bundle(t: Tables) -> DataFrame:
+    rows = t.nation.withColumn("n_nationkey", F.col("n_nationkey").cast("long"))
+    then = corpus.record_digests(rows.where("n_nationkey % 5 <> 2"), "n_nationkey")
+    now = rows.where("n_nationkey % 5 <> 1").withColumn("n_name", F.expr("CASE WHEN n_nationkey % 5 = 0 THEN upper(concat(n_name, '!')) ELSE n_name END"))
+    return corpus.bundle_faults(then, corpus.record_digests(now, "n_nationkey"))
+
+
+@query("eda_contingency_labels", "WITH a AS (SELECT DISTINCT o_orderstatus AS a FROM orders ORDER BY 1 LIMIT 2), b AS (SELECT DISTINCT o_orderpriority AS b FROM orders WHERE o_orderstatus IN (SELECT a FROM a) ORDER BY 1 LIMIT 2) SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders WHERE o_orderstatus IN (SELECT a FROM a) AND o_orderpriority IN (SELECT b FROM b) GROUP BY 1, 2")
+def eda_labels(t: Tables) -> DataFrame:
+    return explore.contingency(t.orders, "o_orderstatus", "o_orderpriority", 2)
+
+
+@query("eda_report", """WITH f AS (SELECT 'o_orderstatus' AS column_name, 'frequency' AS section, o_orderstatus AS item, count(*)::DOUBLE AS value FROM orders GROUP BY 3), e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+h AS (SELECT least(9, floor((o_totalprice - lo) / (hi - lo) * 10))::BIGINT AS bin, count(*) AS n FROM orders, e GROUP BY 1),
+s AS (SELECT unnest([('n_rows', count(*)::DOUBLE), ('n_valid', count(o_totalprice)::DOUBLE), ('n_null', 0.0), ('mean', avg(o_totalprice)), ('variance', var_samp(o_totalprice)), ('stddev', stddev_samp(o_totalprice)), ('minimum', min(o_totalprice)), ('maximum', max(o_totalprice)), ('value_range', max(o_totalprice) - min(o_totalprice)),
+('p5', quantile_cont(o_totalprice, 0.05)), ('p25', quantile_cont(o_totalprice, 0.25)), ('p50', quantile_cont(o_totalprice, 0.5)), ('p75', quantile_cont(o_totalprice, 0.75)), ('p95', quantile_cont(o_totalprice, 0.95))]) AS p FROM orders)
+SELECT column_name, section, item, value FROM f UNION ALL SELECT 'o_totalprice', 'summary', p[1], round(p[2], 0) FROM s UNION ALL SELECT 'o_totalprice', 'histogram', b.bin::VARCHAR, coalesce(n, 0)::DOUBLE FROM (SELECT unnest(range(10)) AS bin) b LEFT JOIN h ON b.bin = h.bin""")
+def eda_report(t: Tables) -> DataFrame:
+    return rounded(explore.eda_report(t.orders, ["o_orderstatus", "o_totalprice"]), 0)
