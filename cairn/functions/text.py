@@ -69,6 +69,16 @@ def canonical_json(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+def tagged_json(kind: str, c: Column) -> Column:
+    """A value of any type as JSON that carries its type; ``untagged`` gives the value back."""
+    return F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("value")), {"ignoreNullFields": "false"})
+
+
+def untagged(kind: str, c: Column) -> Column:
+    read = F.from_json(c, f"type string, value {kind}")
+    return F.when(read["type"] == kind, read["value"])
+
+
 def typed_fingerprint(columns: dict[str, tuple[str, Column]]) -> Column:
     """SHA-256 of a row whose values carry their types, so that 1, 1.0 and "1" differ; columns: name -> (type, column)."""
     return F.sha2(canonical_json({k: F.struct(F.lit(kind).alias("t"), c.cast("string").alias("v")) for k, (kind, c) in columns.items()}), 256)

@@ -181,3 +181,26 @@ def growth(df: DataFrame, order: str, value: str) -> DataFrame:
 def compound_growth(first: Column, last: Column, periods: Column) -> Column:
     """(last / first) ** (1 / periods) - 1 of positive values, else null."""
     return F.when((first > 0) & (last > 0) & (periods > 0), F.pow(last / first, 1 / periods) - 1)
+
+
+#: Measures by name: an aggregate over columns that the caller names, and what these stand for.
+MEASURES = {
+    "revenue": ("sum({price})", "sum of prices"),
+    "net_revenue": ("sum({price} * (1 - {discount}))", "prices after discount"),
+    "discount_rate": ("100 * try_divide(sum({price} * {discount}), sum({price}))", "discount as percent of prices"),
+    "units": ("sum({quantity})", "sum of quantities"),
+    "average_price": ("try_divide(sum({price}), sum({quantity}))", "price of a unit"),
+    "lines": ("count(1)", "rows"),
+    "return_rate": ("100 * try_divide(count_if({returned}), count(1))", "rows returned, in percent"),
+    "returned_value": ("coalesce(sum(CASE WHEN {returned} THEN {price} END), 0)", "prices of what was returned"),
+    "largest_line": ("max({price})", "largest price"),
+    "price_spread": ("stddev_samp({price})", "sample deviation of prices"),
+}
+
+
+def measures(df: DataFrame, names: list[str], columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """The named measures of each group; ``columns`` says which expression stands for price, discount, quantity and returned."""
+    unknown = [n for n in names if n not in MEASURES]
+    if unknown:
+        raise ValueError(f"no measure {unknown}; there are {sorted(MEASURES)}")
+    return df.groupBy(*(by or [])).agg(*[F.expr(MEASURES[n][0].format(**columns)).alias(n) for n in names])

@@ -6,7 +6,10 @@ follows has one row per month.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +64,29 @@ def backtest(series: DataFrame, origins: int = 12) -> DataFrame:
     return seen.where((F.col("nth") <= origins) & F.col("origin").isNotNull()).drop("nth")
 
 
+def backtest_trend(series: DataFrame, origins: int = 12) -> DataFrame:
+    """origin, month, total, predicted and error for the last origins: each month from the straight line through all months before it."""
+    w = Window.orderBy("month")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    slope, level = F.regr_slope("total", "month").over(past), F.regr_intercept("total", "month").over(past)
+    seen = series.select(F.lag("month").over(w).alias("origin"), "month", "total", (level + slope * F.col("month")).alias("predicted"), F.row_number().over(Window.orderBy(F.desc("month"))).alias("nth"))
+    return seen.where((F.col("nth") <= origins) & F.col("predicted").isNotNull()).drop("nth").withColumn("error", F.col("predicted") - F.col("total"))
+
+
+def encode_model(model: dict) -> bytes:
+    """A model's values as packed JSON behind the SHA-256 of that JSON."""
+    body = json.dumps(model, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()
+    return hashlib.sha256(body).digest() + zlib.compress(body)
+
+
+def decode_model(data: bytes) -> dict:
+    """The values of an encoded model; one whose digest does not fit is an error."""
+    body = zlib.decompress(data[32:])
+    if hashlib.sha256(body).digest() != data[:32]:
+        raise ValueError("the model's digest does not fit")
+    return json.loads(body)
+
+
 @dataclass(frozen=True)
 class Forecast:
     months: list[int]

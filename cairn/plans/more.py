@@ -267,7 +267,7 @@ def ts_calendar(t: Tables) -> DataFrame:
 @query("gov_similar_prompts")
 def gov_similar(t: Tables) -> DataFrame:
     prompts = t.conversations.where("turn = 0")
-    return corpus.similar_texts(prompts.where("conv_id % 100 = 0"), prompts, "conv_id", "text")
+    return corpus.similar_texts(prompts.where("conv_id % 100 = 0"), prompts, "conv_id", "text", 0.3)
 
 
 @query("chart_objectives", """WITH o AS (SELECT n_nationkey, ['trend', 'ranking', 'composition', 'distribution', 'flow', 'unknown'][n_nationkey % 6 + 1] AS objective, n_nationkey % 9 AS cats, n_nationkey % 2 + 1 AS series FROM nation)
@@ -298,3 +298,25 @@ s AS (SELECT unnest([('n_rows', count(*)::DOUBLE), ('n_valid', count(o_totalpric
 SELECT column_name, section, item, value FROM f UNION ALL SELECT 'o_totalprice', 'summary', p[1], round(p[2], 0) FROM s UNION ALL SELECT 'o_totalprice', 'histogram', b.bin::VARCHAR, coalesce(n, 0)::DOUBLE FROM (SELECT unnest(range(10)) AS bin) b LEFT JOIN h ON b.bin = h.bin""")
 def eda_report(t: Tables) -> DataFrame:
     return rounded(explore.eda_report(t.orders, ["o_orderstatus", "o_totalprice"]), 0)
+
+
+@query("ts_backtest_trend", """WITH m AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1),
+b AS (SELECT lag(month) OVER (ORDER BY month) AS origin, month, total, regr_intercept(total, month) OVER w + regr_slope(total, month) OVER w * month AS predicted, row_number() OVER (ORDER BY month DESC) AS nth FROM m WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT origin, month, total, round(predicted, 0) AS predicted, round(predicted - total, 0) AS error FROM b WHERE nth <= 12 AND predicted IS NOT NULL""")
+def ts_backtest_trend(t: Tables) -> DataFrame:
+    found = series.backtest_trend(rounded(series.monthly(t.orders, "o_orderdate", "o_totalprice"), 2))
+    return found.withColumns({"predicted": F.round("predicted", 0), "error": F.round("error", 0)})
+
+
+@query("text_tagged_json", "SELECT count(*) AS n, count(*) AS same, CAST(0 AS BIGINT) AS wrong_type FROM embeddings")
+def text_tagged(t: Tables) -> DataFrame:
+    tagged = t.embeddings.select("embedding", text.tagged_json("array<float>", F.col("embedding")).alias("j"))
+    back, other = text.untagged("array<float>", F.col("j")), text.untagged("array<string>", F.col("j"))
+    return tagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(back == F.col("embedding")).alias("same"), F.count_if(other.isNotNull()).alias("wrong_type"))
+
+
+@query("kpi_measures", "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue, round(100 * sum(l_extendedprice * l_discount) / sum(l_extendedprice), 4) AS discount_rate, sum(l_quantity) AS units, round(sum(l_extendedprice) / sum(l_quantity), 4) AS average_price, count(*) AS lines, round(100.0 * count(*) FILTER (l_linestatus = 'F') / count(*), 4) AS return_rate, max(l_extendedprice) AS largest_line FROM lineitem GROUP BY 1")
+def kpi_measures(t: Tables) -> DataFrame:
+    names = ["revenue", "net_revenue", "discount_rate", "units", "average_price", "lines", "return_rate", "largest_line"]
+    out = reports.measures(t.lineitem, names, {"price": "l_extendedprice", "discount": "l_discount", "quantity": "l_quantity", "returned": "l_linestatus = 'F'"}, ["l_returnflag"])
+    return out.withColumns({n: F.round(n, 2 if "revenue" in n else 4) for n in ("revenue", "net_revenue", "discount_rate", "average_price", "return_rate")})
