@@ -30,6 +30,8 @@ from cairn.llm.common import cut
 SEEDS = 8
 #: Bytes of all templates up to which they are sent to every executor; more of them are joined by host, in SALTS parts.
 SMALL_BYTES, SALTS = 8 << 20, 16
+#: Rows of seeds (host and hash) up to which they are sent to every executor.
+SENT = 200_000
 #: Share of the slots' text that a child needs to be gone down to (more if a like one stands beside it), and how much a role weighs.
 MOST, MOST_OF_LIKE, WEIGHT = 0.6, 0.8, 8.0
 #: Pages that must agree on a text before it goes from the main region: two pages can share a paragraph of their own.
@@ -317,8 +319,9 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(_host().alias("host"), F.xxhash64("page_id", "html").alias("h"), "html").where(F.length(F.trim("html")) > 0)
     order = Window.partitionBy("host").orderBy("h")
-    seeds = rows.select("host", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS)
-    found = rows.join(seeds, ["host", "h"]).dropDuplicates(["host", "h"])
+    seeds = cut(rows.select("host", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS))
+    # SEEDS short rows a host: sent to the pages, so that no page is shuffled, if their number allows it
+    found = rows.join(F.broadcast(seeds) if seeds.count() <= SENT else seeds, ["host", "h"]).dropDuplicates(["host", "h"])
 
     def run(frame):
         import pandas as pd
