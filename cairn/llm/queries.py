@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import conversations, exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, suffix_dedup, token_files, toxicity
+from cairn.llm import conversations, exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, spelling, suffix_dedup, token_files, toxicity
 from cairn.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": lambda spark, d: licenses.license_scan(table(spark, d, "documents")),
     "op9_token_files": lambda spark, d: token_files.token_files(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
+    "op11_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op12_conversation_repair": lambda spark, d: conversations.repair(table(spark, d, "conversations")),
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
