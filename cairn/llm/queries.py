@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import conversations, exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, spelling, suffix_dedup, token_files, toxicity
+from cairn.llm import conversations, exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_rules, repeated_phrases, spelling, suffix_dedup, token_files, toxicity
 from cairn.llm.common import table
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
     "op11_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op12_conversation_repair": lambda spark, d: conversations.repair(table(spark, d, "conversations")),
+    "op13_repeated_phrases": lambda spark, d: repeated_phrases.phrase_digests(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
