@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.exact import ExactFloats
 from cairn.functions.guards import col, family, finite, is_float, is_numeric, kind_of, same_family
 from cairn.functions.text import normal_name
 from cairn.operators.ranks import distinct_counts
@@ -100,13 +101,7 @@ def unmatched(left: DataFrame, left_key: str, right: DataFrame, right_key: str)
     return left.join(r, finite(left, left_key) == r["_k"], "left_anti")
 
 
-def _exact(df: DataFrame, column: str) -> Column:
-    """Sums of integers and decimals are exact; floats are summed as doubles."""
-    c, kind = finite(df, column), kind_of(df, column)
-    return c.cast("double") if is_float(kind) else c if isinstance(kind, T.DecimalType) else c.cast(T.DecimalType(38, 0))
-
-
-def metric_column(df: DataFrame, m: Metric) -> Column:
+def metric_column(df: DataFrame, m: Metric, exact: ExactFloats) -> Column:
     if m.operation == "count":
         return F.count(col(m.column) if m.column else F.lit(1))
     if m.column is None:
@@ -115,7 +110,7 @@ def metric_column(df: DataFrame, m: Metric) -> Column:
     if m.operation in ("sum", "average"):
         if not is_numeric(kind):
             raise ValueError(f"{m.operation} needs a number, {m.column} is {kind.simpleString()}")
-        return F.coalesce(F.sum(_exact(df, m.column)), F.lit(0)) if m.operation == "sum" else F.avg(c.cast("double"))
+        return exact.total(m.column) if m.operation == "sum" else exact.average(m.column)
     if m.operation in ("minimum", "maximum"):
         if isinstance(kind, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
             raise ValueError(f"{m.column} has no order")
@@ -125,13 +120,19 @@ def metric_column(df: DataFrame, m: Metric) -> Column:
     raise ValueError(f"no metric {m.operation!r}")
 
 
-def aggregate(frame: DataFrame, dimensions: list[str], metrics: list[Metric], evidence: bool = False) -> DataFrame:
-    """Metrics of each group; NaN belongs to the null group. evidence: also valid and missing values and rows of each group."""
+def aggregate(frame: DataFrame, dimensions: list[str], metrics: list[Metric], evidence: bool = False, sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Metrics of each group; NaN belongs to the null group. evidence: also valid and missing values and rows of each group.
+
+    Sums and averages are exact. ``sources``: the joined tables by alias, where
+    the magnitudes of floats are looked up without running the join.
+    """
     keys = [F.when(~F.isnan(col(d)), col(d)).alias(d) if is_float(kind_of(frame, d)) else col(d) for d in dimensions]
+    summed = [m.column for m in metrics if m.operation in ("sum", "average") and m.column]
+    exact = ExactFloats(frame, summed, sources)
     out = []
     for m in metrics:
         name = m.name or (f"{m.operation}_{m.column}" if m.column else m.operation)
-        out.append(metric_column(frame, m).alias(name))
+        out.append(metric_column(frame, m, exact).alias(name))
         if evidence and m.column:
             valid = F.count(finite(frame, m.column))
             out += [valid.alias(f"{name}_valid"), (F.count(F.lit(1)) - valid).alias(f"{name}_missing")]
@@ -141,7 +142,7 @@ def aggregate(frame: DataFrame, dimensions: list[str], metrics: list[Metric], ev
 
 
 def analyze(sources: dict[str, DataFrame], joins: list[Join], dimensions: list[str], metrics: list[Metric], evidence: bool = False, guard: bool = True) -> DataFrame:
-    return aggregate(join_chain(sources, joins, guard), dimensions, metrics, evidence)
+    return aggregate(join_chain(sources, joins, guard), dimensions, metrics, evidence, sources)
 
 
 def overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:

@@ -7,8 +7,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.exact import ExactFloats
 from cairn.functions.guards import col, finite, is_numeric, kind_of, safe_corr
-from cairn.operators.ranks import average_ranks, percentiles, percentiles_by
+from cairn.operators.ranks import average_ranks, frequencies, percentiles, percentiles_by, percentiles_of_counts
 
 
 def _x(df: DataFrame, column: str):
@@ -20,7 +21,7 @@ def _x(df: DataFrame, column: str):
 def numeric_summary(df: DataFrame, column: str, shares: tuple[float, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
     """One row: counts, mean, sample variance and deviation, extremes, range, percentiles (linear) as p5, p25, ..."""
     x = _x(df, column)
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_valid"), F.count_if(col(column).isNull()).alias("n_null"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), (F.max(x) - F.min(x)).alias("value_range"))
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_valid"), F.count_if(col(column).isNull()).alias("n_null"), ExactFloats(df, [column]).average(column).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), (F.max(x) - F.min(x)).alias("value_range"))
     q = percentiles(df, {"q": x}, [p / 100 for p in shares])
     return one.join(F.broadcast(q)).select("*", *[F.col("q")[i].alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(shares)]).drop("q")
 
@@ -146,10 +147,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def anomalies(df: DataFrame, key: str, column: str, threshold: float = 3.5, least: int = 8) -> DataFrame:
     """key, value, score of rows whose modified z-score is over the threshold: |x - median| / (1.4826 MAD), else by IQR / 1.349, else any deviation."""
     rows = df.select(col(key).alias("key"), _x(df, column).alias("value")).where("value is not null")
-    q = percentiles(rows, {"q": F.col("value")}, [0.25, 0.5, 0.75]).select(F.array(F.col("q")[0], F.col("q")[2]).alias("q"), F.col("q")[1].alias("m"))
-    first = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(q))  # one row
-    centred = rows.join(F.broadcast(first)).withColumn("d", F.abs(F.col("value") - F.col("m")))
-    mad = percentiles(centred, {"d": F.col("d")}, [0.5]).select((1.4826 * F.col("d")[0]).alias("mad"))  # one row
-    scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("q")[1] > F.col("q")[0], (F.col("q")[1] - F.col("q")[0]) / 1.349)
-    score = F.when(scale.isNotNull(), F.try_divide(F.col("d"), scale)).when(F.col("d") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return centred.join(F.broadcast(mad)).where(F.col("n") >= least).select("key", "value", score.alias("score")).where(F.col("score") > threshold)
+    # a few numbers, known before the rows are scored; deviations are counted by value, not by row
+    counts = frequencies(rows, [F.col("value")])
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).join(F.broadcast(percentiles_of_counts(counts, [0.25, 0.5, 0.75]))).first()
+    if one is None or one.n < least:
+        return rows.select("key", "value", F.lit(None).cast("double").alias("score")).limit(0)
+    low, middle, high = one.q
+    mad = percentiles_of_counts(counts.groupBy("i", F.abs(F.col("x") - middle).alias("x")).agg(F.sum("n").alias("n")), [0.5]).first().q[0] * 1.4826
+    scale = mad if mad > 0 else (high - low) / 1.349
+    d = F.abs(F.col("value") - middle)
+    score = d / F.lit(float(scale)) if scale > 0 else F.when(d > 0, F.lit(float("inf"))).otherwise(0.0)
+    return rows.select("key", "value", score.alias("score")).where(F.col("score") > threshold)

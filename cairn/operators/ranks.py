@@ -1,24 +1,45 @@
 """Exact ranks and percentiles of any number of values, without a task that sees all of them.
 
-Values are counted, ranged into parts and counted up within each part; a part
-starts where the parts before it end. Only one row a part meets elsewhere.
+Different values are counted, dealt to parts by ranges of value and counted up
+within each part; a part starts where the parts before it end. The ranges are
+found first and stand in the plan as numbers, so a value's part is the same
+wherever and however often Spark evaluates it.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.guards import col, is_float, kind_of
 
+#: Different values of a part on average, and the most parts (which bounds what the driver and the plan hold).
+PART, PARTS = 200_000, 1024
+
+
+def _ranges(counts: DataFrame, value: str) -> list[float]:
+    """Where the parts begin, from all different values: none if one part holds them."""
+    x = F.col(value).cast("double")
+    shares = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    one = counts.agg(F.count(x).alias("n"), F.percentile_approx(x, shares, 8 * PARTS).alias("edges")).first()
+    parts = min(PARTS, -(-one.n // PART))
+    if parts < 2:
+        return []
+    return sorted({one.edges[i * (PARTS - 1) // parts] for i in range(1, parts)})
+
 
 def counted_up(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counts`` (keys, value, n) with before: how many rows of the same keys have a smaller value.
 
-    The number of parts is set, so that Spark does not merge them in one place and not in another.
+    Values are numbers, neither null nor NaN. The ranges are those of the values
+    of all keys together, so no part of a key has more than its share of them.
     """
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id())
+    edges = _ranges(counts, value)
+    if not edges:
+        return counts.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy(value)) - F.col("n"))
+    splits = [float("-inf"), *edges, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_part").transform(counts.withColumn("_x", F.col(value).cast("double"))).drop("_x")
     sizes = ranged.groupBy("_part", *keys).agg(F.sum("n").alias("_size"))
     # at most one row for each part and each key that it has
     starts = sizes.withColumn("_start", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")).drop("_size")
@@ -33,12 +54,9 @@ def average_ranks(counts: DataFrame, value: str) -> DataFrame:
     return ranked.select(value, (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def percentiles_by(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """keys, n and q: the percentiles (linear between neighbours) of the values of each key that are not null."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def _percentiles_of(counts: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     ranked = counted_up(counts, keys, value)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    rows = ranked.join(totals, keys)
+    rows = ranked.join(counts.groupBy(*keys).agg(F.sum("n").alias("_all")), keys)
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
@@ -57,10 +75,29 @@ def percentiles_by(values: DataFrame, keys: list[str], value: str, shares: list[
     return ends.select(*keys, F.col("_all").alias("n"), F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
 
 
+def percentiles_by(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, n and q: the percentiles (linear between neighbours) of the values of each key that are not null."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return _percentiles_of(counts, keys, value, shares)
+
+
+def frequencies(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """i, x, n: how often each value that is not null occurs in the i-th column."""
+    if len(columns) == 1:
+        long = df.select(F.lit(0).alias("i"), columns[0].cast("double").alias("x"))
+    else:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("x")) for i, c in enumerate(columns)])).alias("r")).select("r.i", "r.x")
+    return long.where("x is not null").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles_of_counts(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """q of one column's frequencies (i, x, n); no row if it has no value."""
+    return _percentiles_of(counts, ["i"], "x", shares).select("q")
+
+
 def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
     """One row: for each name the array of its column's percentiles, null where the column has no value."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("x")) for i, c in enumerate(columns.values())])).alias("r")).select("r.i", "r.x")
-    found = percentiles_by(long, ["i"], "x", shares)
+    found = _percentiles_of(frequencies(df, list(columns.values())), ["i"], "x", shares)
     return found.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(columns)])
 
 

@@ -35,6 +35,29 @@ def test_average_ranks(table):
     assert got == {v: (values < v).sum() + ((values == v).sum() + 1) / 2 for v in set(values.tolist())}
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_many_parts_need_no_reused_exchange(spark, table, monkeypatch, reuse):
+    df, rows = table
+    monkeypatch.setattr(ranks, "PART", 7)
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        x = [r[1] for r in rows if r[1] is not None and np.isfinite(r[1])]
+        for parts in (3, 11):
+            some = df.repartition(parts)
+            assert np.allclose([explore.numeric_summary(some, "x").first()[f"p{p}"] for p in (5, 50, 95)], np.percentile(x, [5, 50, 95]))
+            by = {r.category: r.median for r in explore.group_summary(some, "c", "x").collect()}
+            assert by == pytest.approx({k: np.median([r[1] for r in rows if r[3] == k and r[1] is not None and np.isfinite(r[1])]) for k in "ab"})
+            ranked = {r.x: r["rank"] for r in ranks.average_ranks(some.where("not isnan(x) and abs(x) < 1e300").groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x").collect()}
+            values = np.array(x)
+            assert all(ranked[v] == (values < v).sum() + ((values == v).sum() + 1) / 2 for v in set(x[:200]))
+            m = np.median(values)
+            mad = 1.4826 * np.median(np.abs(values - m))
+            got = {(r.key, round(r.score, 6)) for r in explore.anomalies(some, "i", "x", 2.5).collect()}
+            assert got == {(r[0], round(abs(r[1] - m) / mad, 6)) for r in rows if r[1] is not None and np.isfinite(r[1]) and abs(r[1] - m) / mad > 2.5}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
 def test_correlation_matrix(table):
     df, rows = table
     got = {(r.x, r.y): (r.pearson, r.n) for r in explore.correlation_matrix(df.withColumn("z", F.lit(3.0)), ["x", "y", "z"]).collect()}
