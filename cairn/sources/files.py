@@ -15,17 +15,26 @@ from cairn.functions.guards import col, is_float
 
 #: A value that no cell has, so that no cell is read as null.
 _NEVER = "\u0001never\u0001"
+_CSV = {"header": True, "mode": "FAILFAST", "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": _NEVER}
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """Text columns named by the first row; empty cells stay empty, a row of another width is an error when it is read."""
-    options = {"header": True, "sep": separator, "mode": "FAILFAST", "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": _NEVER, "enforceSchema": False}
     # column pruning would hide rows of another width
-    names = spark.read.options(**options).csv(path).columns
+    names = spark.read.options(**_CSV, sep=separator, enforceSchema=False).csv(path).columns
     if len({n.lower() for n in names}) != len(names):
         raise ValueError(f"column names repeat: {names}")
+    return _named(spark, path, names, separator, False)
+
+
+def read_named(spark: SparkSession, path: str, names: list[str], separator: str = ",") -> DataFrame:
+    """Text columns under these names, whatever the first row says."""
+    return _named(spark, path, names, separator, True)
+
+
+def _named(spark: SparkSession, path: str, names: list[str], separator: str, enforce: bool) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).options(**options).csv(path).na.fill("")
+    return spark.read.schema(schema).options(**_CSV, sep=separator, enforceSchema=enforce).csv(path).na.fill("")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

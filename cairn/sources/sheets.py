@@ -182,8 +182,8 @@ def read_xml_found(spark: SparkSession, path: str) -> DataFrame:
 _JSON_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', re.S)
 
 
-def json_fault(text: str | None, depth: int = DEPTH) -> str | None:
-    """Why a JSON text is not taken: nested too deep (seen before it is decoded), malformed, or with a name twice in one object."""
+def json_fault(text: str | None, depth: int = DEPTH, whole: bool = False) -> str | None:
+    """Why a JSON text is not taken: nested too deep (seen before it is decoded), malformed, with a name twice in one object, or (a whole file) records that have other properties beside them."""
     if text is None:
         return None
     at = 0
@@ -199,7 +199,9 @@ def json_fault(text: str | None, depth: int = DEPTH) -> str | None:
         return dict(pairs)
 
     try:
-        json.loads(text, object_pairs_hook=once)
+        found = json.loads(text, object_pairs_hook=once)
+        if whole and isinstance(found, dict) and len(found) > 1 and any(isinstance(v, list) and v and all(isinstance(x, dict) for x in v) for v in found.values()):
+            return "records with other properties beside them"
     except KeyError:
         return "a name twice in one object"
     except ValueError:
@@ -212,7 +214,7 @@ def json_faults(spark: SparkSession, path: str, lines: bool = False) -> DataFram
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([pa.array([json_fault(t) for t in batch.column(0).to_pylist()], pa.string())], names=["fault"])
+            yield pa.record_batch([pa.array([json_fault(t, whole=not lines) for t in batch.column(0).to_pylist()], pa.string())], names=["fault"])
 
     texts = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
     return texts.mapInArrow(run, "fault string").where("fault is not null").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
