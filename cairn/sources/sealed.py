@@ -119,8 +119,9 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _manifest_of(spark: SparkSession, path: str) -> dict | None:
-    fs, where = _at(spark, f"{path}/{_MANIFEST}")
+def read_json_file(spark: SparkSession, path: str) -> dict | None:
+    """What a small JSON file holds; None if there is none."""
+    fs, where = _at(spark, path)
     if not fs.exists(where):
         return None
     stream = fs.open(where)
@@ -130,9 +131,16 @@ def _manifest_of(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
+def write_json_file(spark: SparkSession, path: str, value: dict) -> None:
+    fs, where = _at(spark, path)
+    out = fs.create(where)
+    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.close()
+
+
 def verify(spark: SparkSession, path: str) -> dict:
     """The manifest of a sealed table whose files are all there, whole and unchanged; anything else is a SealError."""
-    manifest = _manifest_of(spark, path)
+    manifest = read_json_file(spark, f"{path}/{_MANIFEST}")
     if manifest is None:
         raise SealError(f"{path!r} has no manifest")
     want = spark.createDataFrame([(f["name"], f["length"], f["sha256"], f["n_rows"], f["n_groups"]) for f in manifest["files"]], "name string, length long, sha256 string, n_rows long, n_groups long")
@@ -167,9 +175,7 @@ def write_sealed(df: DataFrame, root: str) -> tuple[str, dict]:
             raise SealError(f"{staging!r} does not hold the rows that were given")
         found = _files(spark, staging).orderBy("name").collect()  # one row a file
         manifest = {"key": key, "columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields], "rows": sum(r.n_rows for r in found), "ordered": ordered_digest(spark, staging), "files": [r.asDict() for r in found]}
-        out = fs.create(_at(spark, f"{staging}/{_MANIFEST}")[1])
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
+        write_json_file(spark, f"{staging}/{_MANIFEST}", manifest)
         if not fs.rename(at, to):
             if not fs.exists(to):
                 raise SealError(f"{final!r} cannot be published")
