@@ -9,14 +9,14 @@ without an edit follows its word's own edge, and takes any other edge as a
 replaced or an inserted character; a state with an edit follows its word's next
 character only. A state that cannot take its next character at the new node is
 left out at once, as edges carry the characters that go on from their end. A
-state with one edit whose word ends at a word of the trie is a pair. Of a pair
-only one direction is walked (replacement by a greater character, insertion
-before a different one), so each is found once; a deletion is the insertion
-seen from the other word.
-
-The edges of the first BROADCAST levels are at most as many as there are strings
-of that many letters (ALPHABET), whatever the input, and are broadcast: there
-all words stand at few nodes. Deeper levels are joined by shuffle.
+state with one edit whose word ends at a word of the trie is a pair.
+
+One edit leaves one half of a word as it is. So words are walked forwards and
+backwards, and enter the trie at the node of the half that is left; the edit is
+looked for in the other half, where nodes have few edges and few words. Of a
+pair only one direction is walked (replacement by a greater character,
+insertion where it cannot come later), so each is found once; a deletion is the
+insertion seen from the other word.
 """
 
 from __future__ import annotations
@@ -33,10 +33,8 @@ from cairn.llm.common import cut, free
 
 #: Code points and occurrences of a word, one run in DAMAGED loses a code point, and how much more often a form occurs.
 LENGTH, OFTEN, DAMAGED, TIMES = 5, 3, 97, 2
-#: Levels whose edges are broadcast: no more than ALPHABET (26 and 64 letters and as many again for safety) to this power.
-BROADCAST, ALPHABET = 2, 180
 #: Prefix lengths that are counted in one job, different words that a task holds, and characters that are split at once.
-DEPTHS, HELD, SLICE = 32, 300_000, 1 << 20
+DEPTHS, HELD, SLICE = 32, 150_000, 1 << 20
 
 _RUN, _OTHER = re.compile("[A-Za-zÀ-ÿ]+"), re.compile("[^A-Za-zÀ-ÿ]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -62,8 +60,8 @@ def _counted(batches):
     def out():
         return pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    for batch in batches:
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for some in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+        for doc_id, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
             runs: Counter[str] = Counter()
             for part in _slices(text or ""):
                 runs.update(_RUN.findall(part))
@@ -93,79 +91,93 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return cut(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN))
 
 
-def _at(word: str, position: Column | int) -> Column:
-    """The character of a word at a position from 0."""
-    return F.substring(word, F.lit(position) + 1 if isinstance(position, int) else position + 1, F.lit(1))
+def _at(path: str, position: Column | int) -> Column:
+    """The character of a path at a position from 0."""
+    return F.substring(path, F.lit(position) + 1 if isinstance(position, int) else position + 1, F.lit(1))
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """The edges, written: depth, node, char, child, target and target_n (the one word below a leaf's edge, or the word that ends at child), leaf, next (characters that go on)."""
-    counted, some, low = [], words.select("word", "n", F.char_length("word").alias("size")), 0
+def trie(paths: DataFrame) -> DataFrame:
+    """The edges of both directions, written: back, depth, node, char, child, target and target_n (the one path below a leaf's edge, or the one that ends at child), leaf, next (characters that go on).
+
+    A path has the edges below its first half, as no word enters above that of another that is near.
+    """
+    half = F.floor((F.col("size") - 1) / 2).cast("int")
+    counted, some, low = [], paths, 0
     while True:
-        depth = F.explode(F.sequence(F.lit(low + 1), F.least("size", F.lit(low + DEPTHS)))).alias("depth")
-        prefixes = some.where(F.col("size") > low).select("word", "n", "size", depth).select(F.substring("word", F.lit(1), F.col("depth")).alias("child"), "depth", "word", "n", "size")
+        depth = F.explode(F.sequence(F.greatest(F.lit(low), half) + 1, F.least("size", F.lit(low + DEPTHS)))).alias("depth")
+        prefixes = some.where((F.col("size") > low) & (half < low + DEPTHS)).select("back", "path", "n", "size", depth)
         ends = F.max(F.when(F.col("size") == F.col("depth"), F.col("n"))).alias("end_n")
-        counted.append(cut(prefixes.groupBy("child", "depth").agg(F.count(F.lit(1)).alias("words"), F.min("word").alias("word"), F.min("n").alias("n"), ends)))
+        nodes = prefixes.groupBy("back", F.substring("path", F.lit(1), F.col("depth")).alias("child"), "depth").agg(F.count(F.lit(1)).alias("words"), F.min("path").alias("path"), F.min("n").alias("n"), ends)
+        counted.append(cut(nodes))
         low += DEPTHS
-        # words go on only where they still share a prefix
-        deep = counted[-1].where((F.col("depth") == low) & (F.col("words") > 1)).select(F.col("child").alias("shared"))
-        if deep.isEmpty():
+        if some.where(F.col("size") > low).isEmpty():
             break
-        some = cut(some.where(F.col("size") > low).join(deep, F.substring("word", 1, low) == F.col("shared"), "left_semi"))
+        # paths go on where they have not begun or still share a prefix
+        deep = counted[-1].where((F.col("depth") == low) & (F.col("words") > 1)).select(F.col("back").alias("b"), F.col("child").alias("shared"), F.lit(True).alias("on"))
+        some = some.where(F.col("size") > low).join(deep, (F.col("back") == F.col("b")) & (F.substring("path", 1, low) == F.col("shared")), "left")
+        some = cut(some.where((half >= low) | F.col("on")).select(*paths.columns))
     nodes = counted[0]
     for more in counted[1:]:
         nodes = nodes.unionByName(more)
-    inner = nodes.where("words > 1").select("depth", "child", F.when(F.col("end_n").isNotNull(), F.col("child")).alias("target"), F.col("end_n").alias("target_n"), F.lit(False).alias("leaf"))
-    # the shortest prefix that no other word has is where the rest of a word hangs; of a word that shares the last counted depth it is one further, which the next job counted
-    alone = nodes.where("words = 1").groupBy(F.col("word").alias("target"), F.col("n").alias("target_n")).agg(F.min("depth").alias("depth"))
-    leaves = alone.select("depth", F.substring("target", F.lit(1), F.col("depth")).alias("child"), "target", "target_n", F.lit(True).alias("leaf"))
-    edges = inner.unionByName(leaves).select(
-        F.col("depth").cast("int").alias("depth"), F.substring("child", F.lit(1), F.col("depth") - 1).alias("node"), _at("child", F.col("depth") - 1).alias("char"), "child", "target", "target_n", "leaf"
-    )
+    inner = nodes.where("words > 1").select("back", "depth", "child", F.when(F.col("end_n").isNotNull(), F.col("child")).alias("target"), F.col("end_n").alias("target_n"), F.lit(False).alias("leaf"))
+    # the shortest prefix that no other path has is where the rest of a path hangs
+    alone = nodes.where("words = 1").groupBy("back", F.col("path").alias("target"), F.col("n").alias("target_n")).agg(F.min("depth").alias("depth"))
+    leaves = alone.select("back", "depth", F.substring("target", F.lit(1), F.col("depth")).alias("child"), "target", "target_n", F.lit(True).alias("leaf"))
+    edges = inner.unionByName(leaves).select("back", "depth", F.substring("child", F.lit(1), F.col("depth") - 1).alias("node"), _at("child", F.col("depth") - 1).alias("char"), "child", "target", "target_n", "leaf")
     edges = cut(edges)
-    onward = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.sort_array(F.collect_set("char"))).alias("next"))
-    return cut(edges.join(onward, "child", "left"))
+    onward = edges.groupBy("back", F.col("node").alias("child")).agg(F.concat_ws("", F.sort_array(F.collect_set("char"))).alias("next"))
+    return cut(edges.join(onward, ["back", "child"], "left"))
+
+
+_STATE = ["back", "path", "n", "size"]
 
 
-def _arrived(joined: DataFrame, position: Column) -> DataFrame:
-    """States (edits = 1) and pairs of rows that have taken an edge with or after the edit; position is that of the character to take next."""
-    rest = F.substring("word", position + 1, F.char_length("word"))
-    at_end = position >= F.char_length("word")
-    pair = F.when(F.col("leaf"), F.col("target") == F.concat("child", rest)).otherwise(at_end & F.col("target").isNotNull())
-    onward = ~F.col("leaf") & ~at_end & F.col("next").contains(F.substring("word", position + 1, F.lit(1)))
+def _arrived(joined: DataFrame) -> DataFrame:
+    """States and pairs of rows that have taken an edge; pos is the character to take next, edits tells whether one has been made."""
+    rest = F.substring("path", F.col("pos") + 1, F.col("size"))
+    at_end = F.col("pos") >= F.col("size")
+    edited = F.col("edits") == 1
+    pair = edited & F.when(F.col("leaf"), F.col("target") == F.concat("child", rest)).otherwise(at_end & F.col("target").isNotNull())
+    onward = ~F.col("leaf") & (~edited | (~at_end & F.col("next").contains(_at("path", F.col("pos")))))
     out = joined.where(pair | onward)
-    return out.select("word", "n", position.alias("pos"), F.col("child").alias("node"), F.lit(1).alias("edits"), F.when(pair, F.col("target")).alias("near"), F.when(pair, F.col("target_n")).alias("near_n"))
+    return out.select(*_STATE, "pos", F.col("child").alias("node"), "edits", F.when(pair, F.col("target")).alias("near"), F.when(pair, F.col("target_n")).alias("near_n"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n of words that are exactly one edit apart, each pair once."""
     spark = words.sparkSession
-    edges = trie(words)
+    both = F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("word").alias("path")), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("path")))).alias("p")
+    paths = cut(words.select("n", both).select("p.back", "p.path", "n", F.char_length("p.path").alias("size")))
+    edges = trie(paths)
     free(spark)
-    deepest = edges.agg(F.max("depth")).first()[0] or 0
-    states = words.select("word", "n", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
-    found = []
-    for level in range(deepest):
+    # forwards the first half (rounded down) is left as it is, backwards the rest
+    entry = F.when(F.col("back"), F.col("size") - F.floor(F.col("size") / 2)).otherwise(F.floor(F.col("size") / 2)).cast("int")
+    ends = edges.agg(F.min("depth"), F.max("depth")).first()
+    states, found = None, []
+    for level in range((ends[0] or 1) - 1, ends[1] or 0):
         here = edges.where(F.col("depth") == level + 1).drop("depth")
-        if level < BROADCAST:  # at most ALPHABET ** (level + 1) rows
-            here = F.broadcast(here)
-        own = _at("word", level)
-        plain = states.where("edits = 0").join(here, "node")
-        replaced = _arrived(plain.where((F.char_length("word") > level) & (F.col("char") > own)), F.lit(level + 1))
-        inserted = _arrived(plain.where((F.char_length("word") == level) | (F.col("char") != own)), F.lit(level))
-        same = plain.where((F.col("char") == own) & ~F.col("leaf"))
-        same = same.select("word", "n", F.lit(level + 1).alias("pos"), F.col("child").alias("node"), F.lit(0).alias("edits"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"))
-        frontier = same.unionByName(replaced).unionByName(inserted)
-        if level:
-            edited = states.where("edits = 1").withColumn("char", _at("word", F.col("pos"))).join(here, ["node", "char"])
-            frontier = frontier.unionByName(_arrived(edited, F.col("pos") + 1))
+        enter = paths.where(entry == level).select(*_STATE, F.lit(level).alias("pos"), F.substring("path", 1, level).alias("node"), F.lit(0).alias("edits"))
+        plain = enter if states is None else enter.unionByName(states.where("edits = 0"))
+        plain = plain.join(here, ["back", "node"])
+        own, before = _at("path", level), F.substring("path", level, 1)
+        later = F.when(F.col("back"), (entry < level) & (F.col("char") != before)).otherwise((F.col("size") == level) | (F.col("char") != own))
+        step = lambda pos, edits: F.struct(F.lit(pos).alias("pos"), F.lit(edits).alias("edits"))
+        follow = F.when(F.col("char") == own, step(level + 1, 0))
+        replace = F.when((F.col("size") > level) & (F.col("char") > own), step(level + 1, 1))
+        steps = F.array_compact(F.array(follow, replace, F.when(later, step(level, 1))))
+        frontier = _arrived(plain.drop("pos", "edits").select("*", F.inline(steps)))
+        if states is not None:
+            edited = states.where("edits = 1").withColumn("char", _at("path", F.col("pos"))).join(here, ["back", "node", "char"])
+            frontier = frontier.unionByName(_arrived(edited.withColumn("pos", F.col("pos") + 1)))
         frontier = cut(frontier)
-        found.append(frontier.where("near is not null").select("word", "n", "near", "near_n"))
-        states = frontier.where("near is null").select("word", "n", "pos", "node", "edits")
-    out = found[0] if found else words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
+        free(spark)
+        found.append(frontier.where("near is not null").select("back", "path", "n", "near", "near_n"))
+        states = frontier.where("near is null").select(*_STATE, "pos", "node", "edits")
+    out = found[0] if found else paths.select("back", "path", "n", F.col("path").alias("near"), F.col("n").alias("near_n")).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    forwards = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias("word" if c == "path" else c)
+    return out.select(forwards("path"), "n", forwards("near"), "near_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
