@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import analytics, corpus, explore, intake, quality, reports, rules, scoring, series, supervised
 from cairn.operators.analytics import Metric
+from cairn.operators.backtests import cycle
 from cairn.plans.catalog import Tables, query, rounded
 
 # text forms
@@ -258,8 +257,8 @@ def ml_suitability(t: Tables) -> DataFrame:
 
 @query("ts_calendar", "SELECT month, round(sin(2 * pi() * (month % 12) / 12), 6) + 0.0 AS s, round(cos(2 * pi() * (month % 12) / 12), 6) + 0.0 AS c FROM (SELECT DISTINCT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS month FROM orders)")
 def ts_calendar(t: Tables) -> DataFrame:
-    angle = 2 * math.pi * F.pmod(F.col("month"), F.lit(12)) / 12
-    return series.monthly(t.orders, "o_orderdate", "o_totalprice").select("month", (F.round(F.sin(angle), 6) + 0.0).alias("s"), (F.round(F.cos(angle), 6) + 0.0).alias("c"))
+    sine, cosine = cycle(F.col("month"))
+    return series.monthly(t.orders, "o_orderdate", "o_totalprice").select("month", (F.round(sine, 6) + 0.0).alias("s"), (F.round(cosine, 6) + 0.0).alias("c"))
 
 
 # corpora and charts
