@@ -218,7 +218,9 @@ def seen_before(docs: DataFrame) -> DataFrame:
     starts = one.groupBy("part").agg(F.max(F.col("within") + F.col("n_words")).alias("size"))
     starts = starts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
     named = one.select("part", "within", F.posexplode("grams").alias("nth", "gram"), F.xxhash64("key").alias("t"))
-    often = named.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # a table of its own, so that Spark can split a gram that very many texts have when it joins
+    often = cut(named.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    free(spark)
     told = named.join(often.hint("shuffle_merge"), "gram").groupBy("part", "within", "t").agg(F.collect_list("nth").alias("again"))
     told = told.join(F.broadcast(starts), "part").select("part", "within", "t", (F.col("start") + F.col("within")).alias("base"), "again")
     told = cut(told.join(one.select("part", "within", F.xxhash64("key").alias("t"), "key").hint("shuffle_merge"), ["part", "within", "t"]).select("key", "base", "again"))
