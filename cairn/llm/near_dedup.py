@@ -188,16 +188,28 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Two documents are linked if 100 * common >= 80 * all shingles of ``words``
     words. Null and empty texts and white space have no shingle and no link. A
-    document with a null doc_id is linked with nothing. Rows with the same
-    doc_id count as one document.
+    document with a null doc_id is linked with nothing. Rows are compared each
+    by itself, also where they share a doc_id: a component has the links of all
+    of its rows, and is named by the smallest doc_id among them.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")))
+    own = F.when(F.col("doc_id").isNull(), -1 - F.col(ROW)).otherwise(F.col(ROW)).alias("own")
+    found = row_groups(rows.select(own, "text"), words).join(rows.select(own, "doc_id"), "own")
+    # a table of its own, so that a component of very many rows can be split where it is joined
+    least = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    out = found.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def row_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """own, n_shingles, component (smallest own reachable) of rows own (different numbers; those below 0 are linked with nothing) and text."""
+    rows = docs.select(F.col("own").alias("doc_id"), "text")
     signed = cut(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, low binary, bands array<bigint>"))
-    live = signed.where("n_shingles > 0 and doc_id is not null")
+    live = signed.where("n_shingles > 0 and doc_id >= 0")
     classes = cut(live.groupBy("digest").agg(F.min("doc_id").alias("id")))
     # one signature per class: equal sets have equal ones
     heads = live.join(classes, (live["digest"] == classes["digest"]) & (live["doc_id"] == classes["id"]), "left_semi")
-    heads = cut(heads.select(F.col("doc_id").alias("id"), "low", "bands").dropDuplicates(["id"]))
+    heads = cut(heads.select(F.col("doc_id").alias("id"), "low", "bands"))
     keys = heads.select("id", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
     # an id is linked to the smallest of its buckets' first ids, and those to each other once for all ids: the same components with about one edge an id
@@ -214,9 +226,8 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     links = cut(dealt.mapInArrow(_linked(words), "u long, v long"))
     found = components(links).select("id", "component")
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & (F.col("doc_id") >= 0), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    return out.select(F.col("doc_id").alias("own"), "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -226,7 +237,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     comes last), then the smallest MD5 of the text. A row without shingles stays.
     """
     rows = keyed(docs)
-    found = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    found = row_groups(rows.select(F.col(ROW).alias("own"), text_of("text").alias("text"))).select(F.col("own").alias(ROW), F.col("component").alias("component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", ROW)
     best = rows.select(ROW, "doc_id", F.unhex(F.md5(text_of("text"))).alias("tie")).join(found, ROW).groupBy("component_id").agg(F.min(order).alias("best"))
     return rows.join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)

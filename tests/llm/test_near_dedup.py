@@ -51,3 +51,11 @@ def test_empty_table(spark):
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     assert {r.component for r in components(edges).collect()} == {0}
+
+
+def test_repeated_doc_ids_lose_no_link(spark):
+    rng = random.Random(11)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join([*a, "more"])), (6, " ".join([*b, "more"])), (7, "quite another text of a few words"), (None, " ".join(a)), (1, " ".join(a))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in got) == sorted([(False, 1, 1, True)] * 3 + [(False, 5, 1, False), (False, 6, 1, False), (False, 7, 7, True), (True, 0, None, True)])
