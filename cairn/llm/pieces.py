@@ -4,9 +4,9 @@ The encoder keeps an agenda of adjacent symbol pairs, ordered by the score of
 the piece that they make and then by place, and merges the best until none is
 left. No piece of the vocabulary has the word mark after another character, so
 merges never cross the start of a marked word: words are encoded apart and a
-dictionary keeps their ids. Every new word is held against the sentencepiece
-library in the same Arrow batch, which would decide where the two differ; the
-differences are counted (tests see none).
+dictionary keeps their ids. Every new word and every decoded text is held
+against the sentencepiece library in the same Arrow batch; where it differs
+from the agenda it is followed, and the row says so (tests see none).
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ class PieceCodec:
                     self.vocab[piece] = (-sp.get_score(i), i)
                 self.piece.append(piece.replace(MARK, " ").encode())
         self.ids: dict[str, bytes] = {}
-        #: Words and decoded texts where the library differed (and was followed).
-        self.differences = 0
+        #: Words where the agenda differed from the library, which was followed.
+        self.followed: set[str] = set()
 
     def agenda(self, word: str) -> list[int]:
         """The ids of a word (marks included)."""
@@ -104,8 +104,18 @@ class PieceCodec:
         plain = [w[1:].replace(MARK, " ") for w in words]
         for (w, mine), theirs in zip(made.items(), self.library.encode(plain, num_threads=1), strict=True):
             theirs = theirs or self.library.encode("a ")[-1:]  # a lone mark can only be the end of a text
-            self.differences += mine != theirs
-            self.ids[w] = np.array(theirs, "<u4").tobytes()
+            if mine != theirs:
+                self.followed.add(w)
+            self.ids[w] = np.array(theirs if w in self.followed else mine, "<u4").tobytes()
+
+    def words(self, text: str) -> list[str]:
+        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def checked(self, text: str, ids: list[int]) -> tuple[str, bool]:
+        """(decoded text of the ids, whether the library was followed anywhere in this text)."""
+        mine, theirs = self.decode(ids), self.library.decode(ids)
+        followed = mine != theirs or bool(self.followed) and not self.followed.isdisjoint(self.words(text))
+        return (theirs if mine != theirs else mine), followed
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids with the begin and end id, as little-endian unsigned 32-bit bytes."""
@@ -116,7 +126,7 @@ class PieceCodec:
             for i in range(at, min(at + TEXTS, len(texts))):
                 if not texts[i]:
                     continue
-                words = _WORD.findall(MARK + texts[i].replace(" ", MARK))
+                words = self.words(texts[i])
                 try:
                     out[i] = head + b"".join(map(self.ids.__getitem__, words)) + tail
                 except KeyError:
@@ -151,16 +161,16 @@ def _encode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                n, digest, decoded = [], [], []
-                for data in codec(path).encode_all(some.column(1).to_pylist()):
+                n, digest, decoded, followed = [], [], [], []
+                texts = some.column(1).to_pylist()
+                for own, data in zip(texts, codec(path).encode_all(texts), strict=True):
                     ids = np.frombuffer(data, "<u4").tolist()
-                    text, theirs = codec(path).decode(ids), codec(path).library.decode(ids)
-                    codec(path).differences += text != theirs
-                    text = theirs
+                    text, other = codec(path).checked(own, ids)
                     n.append(len(ids))
                     digest.append(hashlib.sha256(data).hexdigest())
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                yield pa.record_batch([some.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    followed.append(other)
+                yield pa.record_batch([some.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(followed)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "followed_library"])
 
     return run
 
@@ -178,11 +188,14 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, followed_library: one row per row of ``docs``.
+
+    The ids and the text are the agenda's; where the check against the library
+    differs, the library is followed and the row says so.
 
     A null text counts as empty and has the begin and end id alone. Rows do not
     depend on each other, so ids may be null or repeat; a text of any length is
     encoded whole; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    return rows.mapInArrow(_encode(model or model_file()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_encode(model or model_file()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, followed_library boolean")

@@ -54,6 +54,19 @@ def test_pieces(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_agenda_gives_the_ids_and_the_library_is_followed_where_it_differs():
+    texts = ["plain words here", "other words"]
+    codec = pieces.PieceCodec(pieces.model_file())
+    library = [np.array(codec.library.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+    assert codec.encode_all(texts) == library and not codec.followed
+    wrong = pieces.PieceCodec(pieces.model_file())
+    agenda = wrong.agenda
+    wrong.agenda = lambda w: agenda(w) + [5] if "here" in w else agenda(w)
+    out = wrong.encode_all(texts)
+    assert out == library and wrong.followed == {"▁here"}
+    assert [wrong.checked(t, np.frombuffer(d, "<u4").tolist())[1] for t, d in zip(texts, out, strict=True)] == [True, False]
+
+
 def test_quality_counts(spark):
     got = {r.doc_id: r for r in quality_rules.judged(docs(spark)).collect()}
     for i, t in enumerate(TEXTS):
