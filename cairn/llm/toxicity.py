@@ -3,9 +3,13 @@
 Features are the words of a text and the beginnings of its words, since
 languages inflect: a stem is seen in many words that are rare by themselves.
 
-Grades come from the labels alone, not from the features: 0 is a clean text, 1
-a toxic one, 2 a toxic one that is labelled as of low quality too. One weight
-per feature is shared across the ordered thresholds:
+Labels say toxic or clean; how severe a toxic text is comes from how much of it
+is toxic. The labelled sample is cut in two folds, each with a model of its own
+(one threshold), and the passages of PASSAGE words of each toxic text are
+scored by the model of the fold that it is not in. Grade 0 is a clean text, 1 a
+toxic one, 2 a toxic one of which the other fold's model finds at least SEVERE
+of the passages toxic. The final model sees words of whole texts only. One
+weight per feature is shared across the ordered thresholds:
 P(grade > k) = 1 / (1 + exp(threshold_k - weights . features)). The expected
 severity is the sum of these over k.
 
@@ -23,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import text_of
+from cairn.llm.common import cut, text_of
 from cairn.llm.words import ascii_words
 
 #: Bound on the labelled documents that the model is fitted on.
 SAMPLE = 20_000
 #: Words kept as features at most, and the standard deviations by which toxic texts must have them more often than all texts.
-FEATURES, TELLING = 2048, 5.0
+FEATURES, TELLING = 2048, 4.0
 #: Probability of a grade over 0 from which a text counts as toxic.
 TOXIC = 0.3
 #: Bytes of the beginnings of words that are features, and words and features that a task remembers.
 BEGINNINGS, REMEMBERED = range(4, 10), 400_000
 GRADES = 2
+#: Words of a passage, and how many toxic ones make a text of the second grade.
+PASSAGE, SEVERE = 40, 3
 
 
 def features(word: bytes) -> list[bytes]:
@@ -114,20 +120,46 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE labelled documents: text, toxic, grade."""
-    quality = F.min(F.col("quality").cast("int")) if "quality" in labels.columns else F.lit(None).cast("int")
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), quality.alias("quality"))
+    """At most SAMPLE labelled documents: text, toxic, fold."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most, whatever the input
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    return one.select("text", F.col("toxic").cast("long").alias("toxic"), grade.cast("long").alias("grade"))
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return one.select("text", F.col("toxic").cast("long").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+
+
+def passages(text: str) -> list[list[bytes]]:
+    """The words of a text, PASSAGE by PASSAGE; the last passage may be shorter."""
+    words = ascii_words(text)
+    return [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
+
+
+def graded(sample: DataFrame, folds: dict[int, Model | None]) -> DataFrame:
+    """text, toxic, grade of the sample (text, toxic, fold), by the models of the folds that a text is not in."""
+
+    def run(batches):
+        known = {k: _Known(m.weights) for k, m in folds.items() if m}
+        for batch in batches:
+            out = []
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                model, parts = folds.get(1 - fold), passages(text)
+                found = sum(model.severity(known[1 - fold].counts(p))[1] >= TOXIC for p in parts) if toxic and model else 0
+                out.append(toxic + (toxic and found >= SEVERE))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["text", "toxic", "grade"])
+
+    return sample.select("text", "toxic", "fold").mapInArrow(run, "text string, toxic long, grade long")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the labelled sample, or none if it has no toxic or no clean text."""
-    sample = _sample(docs, labels)
+    sample = cut(_sample(docs, labels))
+    folds = {k: _fitted(sample.where(F.col("fold") == k).select("text", "toxic", F.col("toxic").alias("grade")), 1) for k in (0, 1)}
+    return _fitted(cut(graded(sample, folds)), GRADES)
+
+
+def _fitted(sample: DataFrame, grades: int) -> Model | None:
+    """The model of rows text, toxic, grade."""
 
     def distinct(batches):
         found: dict[bytes, list[int]] = {}
@@ -172,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     rows = sample.select("text", "grade").mapInArrow(counts, "words array<binary>, counts array<bigint>, grade long").collect()
     rows = [(dict(zip(map(bytes, r.words), r.counts, strict=True)), r.grade) for r in rows]
-    return Model.fit(sorted(rows, key=lambda r: (r[1], sorted(r[0].items()))), words)
+    return Model.fit(sorted(rows, key=lambda r: (r[1], sorted(r[0].items()))), words, grades)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,8 +212,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text has no features and the severity of its thresholds
     alone, which rounds to 0. Without toxic and clean labels severity is 0.
-    Null labels are left out; a document labelled twice counts as toxic (and
-    as of low quality) if one label says so. Every row is scored by itself,
+    Null labels are left out; a document labelled twice counts as toxic if one
+    label says so. Every row is scored by itself,
     whatever its doc_id, over all its text; other columns are not read.
     """
     model = fit(docs, labels)
