@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.exact import ExactFloats
 from cairn.functions.guards import col, finite, is_numeric, kind_of, safe_corr
-from cairn.operators.ranks import average_ranks, frequencies, percentiles, percentiles_by, percentiles_of_counts
+from cairn.operators.ranks import average_ranks, median_and_deviation, percentiles, percentiles_by
 
 
 def _x(df: DataFrame, column: str):
@@ -147,13 +147,11 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def anomalies(df: DataFrame, key: str, column: str, threshold: float = 3.5, least: int = 8) -> DataFrame:
     """key, value, score of rows whose modified z-score is over the threshold: |x - median| / (1.4826 MAD), else by IQR / 1.349, else any deviation."""
     rows = df.select(col(key).alias("key"), _x(df, column).alias("value")).where("value is not null")
-    # a few numbers, known before the rows are scored; deviations are counted by value, not by row
-    counts = frequencies(rows, [F.col("value")])
-    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).join(F.broadcast(percentiles_of_counts(counts, [0.25, 0.5, 0.75]))).first()
-    if one is None or one.n < least:
+    # a few numbers, known before the rows are scored; distances are counted by value, not by row
+    one = median_and_deviation(rows, F.col("value"), [0.25, 0.5, 0.75])
+    if one is None or one[0] < least:
         return rows.select("key", "value", F.lit(None).cast("double").alias("score")).limit(0)
-    low, middle, high = one.q
-    mad = percentiles_of_counts(counts.groupBy("i", F.abs(F.col("x") - middle).alias("x")).agg(F.sum("n").alias("n")), [0.5]).first().q[0] * 1.4826
+    (low, middle, high), mad = one[1], one[2] * 1.4826
     scale = mad if mad > 0 else (high - low) / 1.349
     d = F.abs(F.col("value") - middle)
     score = d / F.lit(float(scale)) if scale > 0 else F.when(d > 0, F.lit(float("inf"))).otherwise(0.0)

@@ -8,9 +8,11 @@ wherever and however often Spark evaluates it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.guards import col, is_float, kind_of
 
@@ -20,13 +22,12 @@ PART, PARTS = 200_000, 1024
 
 def _ranges(counts: DataFrame, value: str) -> list[float]:
     """Where the parts begin, from all different values: none if one part holds them."""
-    x = F.col(value).cast("double")
-    shares = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
-    one = counts.agg(F.count(x).alias("n"), F.percentile_approx(x, shares, 8 * PARTS).alias("edges")).first()
-    parts = min(PARTS, -(-one.n // PART))
+    n = counts.count()
+    parts = min(PARTS, -(-n // PART))
     if parts < 2:
         return []
-    return sorted({one.edges[i * (PARTS - 1) // parts] for i in range(1, parts)})
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return sorted(set(counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, 8 * parts).alias("edges")).first().edges))
 
 
 def counted_up(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -90,15 +91,33 @@ def frequencies(df: DataFrame, columns: list[Column]) -> DataFrame:
     return long.where("x is not null").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-def percentiles_of_counts(counts: DataFrame, shares: list[float]) -> DataFrame:
-    """q of one column's frequencies (i, x, n); no row if it has no value."""
-    return _percentiles_of(counts, ["i"], "x", shares).select("q")
+def _found(counts: DataFrame, shares: list[float]) -> dict[int, list[float]]:
+    """q by i of frequencies (i, x, n), on the driver: a few numbers a column. The frequencies are kept while they are looked at."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {r.i: r.q for r in _percentiles_of(counts, ["i"], "x", shares).collect()}
+    finally:
+        counts.unpersist()
+
+
+def median_and_deviation(df: DataFrame, column: Column, shares: list[float]) -> tuple[int, list[float], float] | None:
+    """(number of values, their percentiles, the median of their distances from their median), all from one count of the values; None without any."""
+    counts = frequencies(df, [column]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        one = _percentiles_of(counts, ["i"], "x", [0.5, *shares]).first()
+        if one is None:
+            return None
+        middle, *q = one.q
+        apart = counts.groupBy("i", F.abs(F.col("x") - middle).alias("x")).agg(F.sum("n").alias("n"))
+        return one.n, q, _percentiles_of(apart, ["i"], "x", [0.5]).first().q[0]
+    finally:
+        counts.unpersist()
 
 
 def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
     """One row: for each name the array of its column's percentiles, null where the column has no value."""
-    found = _percentiles_of(frequencies(df, list(columns.values())), ["i"], "x", shares)
-    return found.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(columns)])
+    found = _found(frequencies(df, list(columns.values())), shares)
+    return df.sparkSession.createDataFrame([tuple(found.get(i) for i in range(len(columns)))], T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in columns]))
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
