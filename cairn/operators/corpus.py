@@ -125,8 +125,8 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b))  # one row each
 
 
-#: Texts that others are compared with at most: they go to every task.
-QUERIES = 20_000
+#: Texts that others are compared with at most, and their bytes: they go to every executor.
+QUERIES, QUERY_BYTES = 20_000, 64 << 20
 
 
 def similar_texts(queries: DataFrame, rows: DataFrame, key: str, column: str, least: float = 0.55) -> DataFrame:
@@ -142,14 +142,16 @@ def similar_texts(queries: DataFrame, rows: DataFrame, key: str, column: str, le
     import pyarrow as pa
 
     clean = lambda df: df.select(col(key).cast("long").alias("k"), F.trim(F.regexp_replace(F.lower(col(column)), r"(?U)\W+", " ")).alias("t")).where("t <> ''")
-    asked = [(r.k, r.t) for r in clean(queries).limit(QUERIES + 1).collect()]
-    if len(asked) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries")
+    size = clean(queries).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    if size.n > QUERIES or size.bytes > QUERY_BYTES:
+        raise ValueError(f"{size.n} queries of {size.bytes} bytes are more than {QUERIES} or than {QUERY_BYTES} bytes")
+    sent = rows.sparkSession.sparkContext.broadcast([(r.k, r.t) for r in clean(queries).collect()])
 
     def letters(text: str) -> np.ndarray:
         return np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % 251, minlength=251)
 
     def run(batches):
+        asked = sent.value
         counts = np.array([letters(t) for _, t in asked]).reshape(len(asked), 251)
         lengths = counts.sum(1)
         for batch in batches:
@@ -165,24 +167,43 @@ def similar_texts(queries: DataFrame, rows: DataFrame, key: str, column: str, le
     return clean(rows).mapInArrow(run, "query_key long, key long, similarity double")
 
 
-# Objectives of a chart and the chart that each gets where nothing else decides.
-BY_OBJECTIVE = {
-    "trend": "line_chart", "time_series": "line_chart", "ranking": "ranked_bar", "comparison": "ranked_bar", "composition": "stacked_bar", "distribution": "histogram", "correlation": "scatter_plot", "relationship": "scatter_plot",
-    "geography": "map_symbol", "geospatial": "map_symbol", "hierarchy": "treemap", "conversion": "funnel", "process": "funnel", "flow": "sankey", "cross_tab": "matrix_pivot",
-    "two_dimensional_intensity": "heatmap", "current_value": "kpi_scorecard", "kpi": "kpi_scorecard", "detail": "table",
-}
-
-
-def chart_for(objective: Column, n_categories: Column, n_series: Column, has_time: Column, enough: Column) -> Column:
-    """The chart of an objective: a table where data are too few or the objective says nothing."""
-    named = F.create_map(*[F.lit(x) for pair in BY_OBJECTIVE.items() for x in pair])[objective]
-    special = (
-        F.when(objective.isin("trend", "time_series") & ~has_time, "table")
-        .when(objective.isin("ranking", "comparison") & (n_series > 1) & (n_categories <= 20), "grouped_bar")
-        .when((objective == "composition") & n_categories.between(2, 6), "donut_chart")
-        .when((objective == "distribution") & (n_categories > 1), "box_plot")
-    )
-    return F.when(~enough, "table").otherwise(F.coalesce(special, named, F.lit("table")))
+# Which chart an objective gets, in the order in which its lines are tried: objective, chart, least series, least and most categories, whether a time is needed.
+CHARTS = [
+    ("comparison", "grouped_bar", 2, 0, 20, False),
+    ("comparison", "ranked_bar", 0, 0, None, False),
+    ("composition", "donut_chart", 0, 2, 6, False),
+    ("composition", "stacked_bar", 0, 0, None, False),
+    ("conversion", "funnel", 0, 0, None, False),
+    ("correlation", "scatter_plot", 0, 0, None, False),
+    ("cross_tab", "matrix_pivot", 0, 0, None, False),
+    ("current_value", "kpi_scorecard", 0, 0, None, False),
+    ("detail", "table", 0, 0, None, False),
+    ("distribution", "box_plot", 0, 2, None, False),
+    ("distribution", "histogram", 0, 0, None, False),
+    ("flow", "sankey", 0, 0, None, False),
+    ("geography", "map_symbol", 0, 0, None, False),
+    ("geospatial", "map_symbol", 0, 0, None, False),
+    ("hierarchy", "treemap", 0, 0, None, False),
+    ("kpi", "kpi_scorecard", 0, 0, None, False),
+    ("process", "funnel", 0, 0, None, False),
+    ("ranking", "grouped_bar", 2, 0, 20, False),
+    ("ranking", "ranked_bar", 0, 0, None, False),
+    ("relationship", "scatter_plot", 0, 0, None, False),
+    ("time_series", "line_chart", 0, 0, None, True),
+    ("trend", "line_chart", 0, 0, None, True),
+    ("two_dimensional_intensity", "heatmap", 0, 0, None, False),
+]
+
+
+def charts_for(profiles: DataFrame, key: str) -> DataFrame:
+    """key, chart of each profile (key, objective, n_categories, n_series, has_time, enough): the first line of CHARTS that fits it, a table if none does or data are too few."""
+    lines = profiles.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CHARTS)], "nth int, objective string, chart string, series int, low int, high int, timed boolean")
+    p, c = profiles.alias("p"), F.broadcast(lines.alias("c"))  # as many lines as CHARTS has
+    within = (F.col("p.n_categories") >= F.col("low")) & (F.col("high").isNull() | (F.col("p.n_categories") <= F.col("high"))) | (F.col("low") == 0) & F.col("high").isNull()
+    fits = (F.col("p.objective") == F.col("c.objective")) & F.col("p.enough") & within & ((F.col("series") == 0) | (F.col("p.n_series") >= F.col("series"))) & (F.col("p.has_time") | ~F.col("timed"))
+    first = p.join(c, fits, "left").groupBy(F.col(f"p.`{key}`").alias(key)).agg(F.min(F.struct("c.nth", "c.chart")).alias("best"))
+    # a struct of nulls is the smallest only where nothing fits
+    return first.select(key, F.coalesce("best.chart", F.lit("table")).alias("chart"))
 
 
 def record_digests(df: DataFrame, key: str) -> DataFrame:

@@ -27,8 +27,8 @@ def text_ordered(df: DataFrame, dimensions: list[str], limit: int | None = None)
     return out.limit(limit) if limit else out
 
 
-def chart(df: DataFrame, kind: str, x: str, y: str, series: str | None = None) -> DataFrame:
-    """x, y and series of a chart over grouped rows: the first POINTS in order (lines by x, others by the groups' texts).
+def chart(df: DataFrame, kind: str, x: str, y: str, series: str | None = None, total: bool = False) -> DataFrame:
+    """x, y and series of a chart over grouped rows: the first POINTS in order (lines by x, others by the groups' texts); total: with n_points, how many there are.
 
     Nulls in x or y, a pie with a negative value or no positive total, and more
     than SERIES series are errors; one small aggregate runs.
@@ -50,6 +50,8 @@ def chart(df: DataFrame, kind: str, x: str, y: str, series: str | None = None) -
         raise ValueError(f"a chart has at most {SERIES} series")
     own = df.select(col(x).alias("x"), value.alias("y"), (col(series).cast("string") if series else F.lit(None).cast("string")).alias("series"))
     order = [F.col("x")] if kind in ("line", "scatter") else [F.col("x").cast("string")]
+    if total:
+        own = own.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("n_points"))))
     return own.orderBy(*order, "series", "y").limit(POINTS)
 
 
@@ -59,11 +61,13 @@ def forecast_chart(observed: DataFrame, forecast: DataFrame) -> DataFrame:
     return a.join(b, "month", "full").select("month", "observed", "forecast")
 
 
-def evidence_findings(df: DataFrame, dimensions: list[str], metrics: list[str], group_rows: str = "group_rows") -> DataFrame:
-    """One finding per group and metric: scope, metric, value, n, missing_value, few_rows, finding_id (a digest of what it says)."""
+def evidence_findings(df: DataFrame, dimensions: list[str], metrics: list[str], group_rows: str = "group_rows", total: bool = False) -> DataFrame:
+    """One finding per group and metric, the first FINDINGS by scope (total: with n_findings, how many there are): scope, metric, value, n, missing_value, few_rows, finding_id (a digest of what it says)."""
     scope = canonical_json({d: col(d).cast("string") for d in dimensions}) if dimensions else F.lit("{}")
     rows = df.select(scope.alias("scope"), col(group_rows).alias("n"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), finite(df, m).cast("double").alias("value")) for m in metrics])).alias("m"))
     out = rows.select("scope", "m.metric", "m.value", "n", F.col("m.value").isNull().alias("missing_value"), (F.col("n") < FEW).alias("few_rows"))
+    if total:
+        out = out.join(F.broadcast(out.agg(F.count(F.lit(1)).alias("n_findings"))))
     return out.withColumn("finding_id", F.substring(F.sha2(F.concat_ws("|", "metric", "scope"), 256), 1, 32)).orderBy("scope", "metric").limit(FINDINGS)
 
 
@@ -157,6 +161,13 @@ def chosen_pairs(df: DataFrame, columns: list[str] | None = None, most: int = 20
     return [p for p in pairs if p[2] != "unsupported"][:most]
 
 
+def pair_counts(df: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """a, b, kind, n_valid: in how many rows both columns of each chosen pair have a usable value, from one aggregate."""
+    value = lambda c: finite(df, c)
+    one = df.agg(*[F.count_if(value(a).isNotNull() & value(b).isNotNull()).alias(f"p{i}") for i, (a, b, _) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("kind"), F.col(f"p{i}").alias("n_valid")) for i, (a, b, k) in enumerate(pairs)])))
+
+
 def linked_profile(profile: DataFrame, stored: DataFrame, findings: DataFrame) -> DataFrame:
     """column_name, reused (the stored profile has the same row, null and empty counts), n_findings on the same column."""
     same = ["column_name", "n_rows", "n_null", "n_empty"]

@@ -111,6 +111,27 @@ def plan(configs: dict[str, dict]) -> list[dict]:
     return out
 
 
+#: Columns that a rule looks at; rules that are not named look at all.
+_LOOKS_AT = {"whitespace": lambda k: isinstance(k, T.StringType), "non_finite": is_float, "outliers": is_numeric}
+
+
+def planned(df: DataFrame, configs: dict[str, dict]) -> DataFrame:
+    """rule_id, status, n_columns, n_values: the plan for a table, with how many of its columns and values each rule would look at.
+
+    A rule that is ready but has no column to look at is not_applicable. One
+    aggregate counts the values of all columns.
+    """
+    counts = df.agg(*[F.count(col(c)).alias(c) for c in df.columns])
+    own = {r["rule_id"]: [c for c in df.columns if _LOOKS_AT.get(r["rule_id"], lambda k: True)(kind_of(df, c))] for r in plan(configs)}
+    rows = []
+    for r in plan(configs):
+        columns = own[r["rule_id"]]
+        status = "not_applicable" if r["status"] == "ready" and not columns else r["status"]
+        n_values = sum((col(c) for c in columns), F.lit(0)).cast("long")
+        rows.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(status).alias("status"), F.lit(len(columns)).cast("long").alias("n_columns"), n_values.alias("n_values")))
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def findings(df: DataFrame, configs: dict[str, dict], table: str) -> DataFrame:
     """Findings of all rules that are ready, with affected > 0: finding_id, rule_id, column_name, affected, total, severity, in scope order.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.guards import col, is_numeric, kind_of, ratio, safe_corr
-from cairn.operators.ranks import counted_up
+from cairn.operators.ranks import counted_up, distinct_counts
 
 
 def regression_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -70,8 +70,11 @@ def leakage(df: DataFrame, target: str, features: list[str]) -> DataFrame:
         x = col(f)
         same = F.avg(F.when(x.isNotNull() & y.isNotNull(), (x.cast("string") == y.cast("string")).cast("int")))
         both = is_numeric(kind_of(df, f)) and is_numeric(kind_of(df, target))
-        out.append(F.struct(F.lit(f).alias("feature"), same.alias("equal_share"), (safe_corr(x, y) if both else F.lit(None).cast("double")).alias("correlation"), ratio(F.count_distinct(x), F.count(x)).alias("distinct_share"), F.count_distinct(x).alias("n_distinct")))
+        out.append(F.struct(F.lit(f).alias("feature"), same.alias("equal_share"), (safe_corr(x, y) if both else F.lit(None).cast("double")).alias("correlation"), F.count(x).alias("n_values")))
     one = df.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    # different values are counted by column, not by one global aggregate
+    kinds = distinct_counts(df, features).select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), col(f"n_distinct:{f}").alias("n_distinct")) for f in features])).alias("k")).select("k.*")
+    one = one.join(F.broadcast(kinds), "feature").withColumn("distinct_share", ratio(F.col("n_distinct"), F.col("n_values"))).select("feature", "equal_share", "correlation", "distinct_share", "n_distinct")
     verdict = F.when(F.col("equal_share") == 1, "copy").when((F.abs("correlation") >= 0.995) | (F.col("equal_share") >= 0.995), "suspicious").when((F.col("n_distinct") >= 20) & (F.col("distinct_share") >= 0.98), "identifier").otherwise("fine")
     return one.withColumn("verdict", verdict).drop("n_distinct")
 

@@ -158,10 +158,11 @@ def report_linked(t: Tables) -> DataFrame:
     return reports.linked_profile(now, then, now.where("column_name = 'l_quantity'").select("column_name"))
 
 
-@query("report_pairs", "SELECT * FROM (VALUES ('c_acctbal', 'c_mktsegment', 'numeric_categorical'), ('c_acctbal', 'c_nationkey', 'numeric_numeric'), ('c_mktsegment', 'c_name', 'categorical_categorical'), ('c_acctbal', 'c_custkey', 'numeric_numeric'), ('c_acctbal', 'c_name', 'numeric_categorical')) AS p(a, b, kind)")
+@query("report_pairs", """WITH h AS (SELECT CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS balance, c_nationkey AS nation, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment FROM customer)
+SELECT 'balance' AS a, 'nation' AS b, 'numeric_numeric' AS kind, count(*) FILTER (balance IS NOT NULL) AS n_valid FROM h UNION ALL SELECT 'balance', 'segment', 'numeric_categorical', count(*) FILTER (balance IS NOT NULL AND segment IS NOT NULL) FROM h UNION ALL SELECT 'nation', 'segment', 'numeric_categorical', count(segment) FROM h""")
 def report_pairs(t: Tables) -> DataFrame:
-    some = [p for p in reports.chosen_pairs(t.customer) if p[0] != "c_custkey" and not (p[0] != "c_acctbal" and "c_nationkey" in p)]
-    return t.spark.createDataFrame(some, "a string, b string, kind string")
+    rows = t.customer.selectExpr("CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS balance", "c_nationkey AS nation", "CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment")
+    return reports.pair_counts(rows, reports.chosen_pairs(rows))
 
 
 @query("kpi_returns", """SELECT l_shipdate::DATE AS ship_day, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * (1 - l_discount) ELSE 0 END), 2) AS net_revenue, round(100 * sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) / nullif(sum(l_extendedprice), 0), 2) AS return_rate,
@@ -199,9 +200,14 @@ def rules_findings(t: Tables) -> DataFrame:
     return rules.findings(rows, {"business_key": {"key": ["k"]}, "outliers": {"columns": ["c_custkey"], "threshold": 9.0}}, "customer")
 
 
-@query("rules_plan", "SELECT * FROM (VALUES ('business_key', 'needs_context'), ('constant_column', 'ready'), ('duplicate_rows', 'ready'), ('missing_values', 'ready'), ('non_finite', 'ready'), ('outliers', 'invalid'), ('whitespace', 'ready')) AS p(rule_id, status)")
+_KINDS = {"missing_values": "ready", "constant_column": "ready", "duplicate_rows": "ready", "business_key": "needs_context"}
+_EVERY = " + ".join(f"count({c})" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("rules_plan", " UNION ALL ".join([f"SELECT '{r}' AS rule_id, '{s}' AS status, CAST(5 AS BIGINT) AS n_columns, {_EVERY} AS n_values FROM documents" for r, s in _KINDS.items()]) + """
+UNION ALL SELECT 'non_finite', 'not_applicable', 0, 0 UNION ALL SELECT 'outliers', 'invalid', 2, count(doc_id) + count(n_chars) FROM documents UNION ALL SELECT 'whitespace', 'ready', 3, count(text) + count(lang) + count(source) FROM documents""")
 def rules_plan(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(p["rule_id"], p["status"]) for p in rules.plan({"outliers": {"method": 3}})], "rule_id string, status string")
+    return rules.planned(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), {"outliers": {"method": 3}})
 
 
 @query("quality_coerced_numbers", "SELECT count(*) FILTER (v <> '') AS n_values, count(*) FILTER (v <> '' AND TRY_CAST(v AS DOUBLE) IS NOT NULL) AS n_numeric, false AS all_numeric FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN '1.5e3' ELSE p_brand END AS v FROM part)")
@@ -247,7 +253,8 @@ def ml_classification(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r.chosen, int(r.test["n"]), r.test["accuracy"], r.test["roc_auc"], r.baseline["accuracy"])], "chosen string, n long, accuracy double, roc_auc double, baseline_accuracy double")
 
 
-@query("ml_suitability", "SELECT * FROM (VALUES ('anomaly_detection', true), ('classification', true), ('descriptive', true), ('forecasting', true), ('regression', false)) AS s(task, suitable)")
+@query("ml_suitability", """WITH c AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS classes, count(DISTINCT o_totalprice) AS prices, count(o_orderdate) AS dates FROM orders)
+SELECT 'anomaly_detection' AS task, prices >= 2 AND n >= 8 AS suitable FROM c UNION ALL SELECT 'classification', (classes BETWEEN 2 AND 32 OR prices BETWEEN 2 AND 32) AND n >= 30 FROM c UNION ALL SELECT 'descriptive', n > 0 FROM c UNION ALL SELECT 'forecasting', dates > 0 AND prices >= 2 AND n >= 15 FROM c UNION ALL SELECT 'regression', false FROM c""")
 def ml_suitability(t: Tables) -> DataFrame:
     kinds = {"o_orderdate": "timestamp", "o_totalprice": "number", "o_orderstatus": "string"}
     n = t.orders.count()
@@ -274,7 +281,8 @@ SELECT n_nationkey, CASE WHEN n_nationkey = 24 THEN 'table' WHEN objective = 'tr
 def chart_objectives(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
     objective = F.element_at(F.array(*[F.lit(x) for x in ("trend", "ranking", "composition", "distribution", "flow", "unknown")]), (k % 6 + 1).cast("int"))
-    return t.nation.select("n_nationkey", corpus.chart_for(objective, k % 9, k % 2 + 1, k % 4 != 0, k != 24).alias("chart"))
+    profiles = t.nation.select("n_nationkey", objective.alias("objective"), (k % 9).alias("n_categories"), (k % 2 + 1).alias("n_series"), (k % 4 != 0).alias("has_time"), (k != 24).alias("enough"))
+    return corpus.charts_for(profiles, "n_nationkey")
 
 
 @query("gov_bundle_faults", "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'changed' WHEN n_nationkey % 5 = 1 THEN 'lost' ELSE 'added' END AS fault FROM nation WHERE n_nationkey % 5 < 3")
