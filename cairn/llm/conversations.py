@@ -329,3 +329,37 @@ def _judged(ids: DataFrame, rows: DataFrame) -> DataFrame:
     sorted_rows = every.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "role", "digest").drop("turn", "digest")
     result = f"conv_id {kind.simpleString()}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", audit string, repaired_sha256 string"
     return sorted_rows.mapInArrow(_digested(to_arrow_type(kind)), result)
+
+
+def _sql() -> str:
+    """The same in SQL, for conversations whose turns differ: the automaton is walked row by row, the best of each state kept."""
+    edges = ", ".join(f"({p}, '{c}', {q})" for (p, c), q in _NEXT.items())
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE bits AS (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS n)),
+t AS (SELECT list(c ORDER BY n) AS crc FROM bits),
+k AS (SELECT c.conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations c),
+d AS (SELECT k.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda a, b: xor(a // 256, crc[xor(a, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, t),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM m),
+r AS (SELECT *, role[1] AS letter, CASE WHEN NOT regexp_matches(text, '{word}') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+e AS (SELECT * FROM (VALUES {edges}) AS x(p, l, q)),
+i AS (SELECT s AS p, s AS q, 0 AS cost, '' AS audit FROM (SELECT unnest(range(4)) AS s) UNION ALL SELECT p, q, {INSERT}, 'I' FROM e WHERE l <> 's' UNION ALL SELECT a.p, b.q, {2 * INSERT}, 'II' FROM e a JOIN e b ON b.p = a.q WHERE a.l <> 's' AND b.l <> 's'),
+z AS (SELECT conv_id, 0 AS pos, i.q, i.cost, i.audit FROM c, i WHERE i.p = 0
+  UNION ALL SELECT conv_id, pos, q, cost, audit FROM (
+    SELECT z.conv_id, z.pos + 1 AS pos, i.q, z.cost + x.cost + i.cost AS cost, z.audit || x.audit || i.audit AS audit FROM z JOIN r ON r.conv_id = z.conv_id AND r.pos = z.pos + 1,
+    LATERAL (SELECT z.q AS q, {DELETE} AS cost, 'D' AS audit UNION ALL SELECT e.q, {ROUGH} * (r.fault = 3)::INT, 'K' FROM e WHERE e.p = z.q AND e.l = r.letter AND r.fault NOT IN (1, 2) UNION ALL SELECT e.q, {REROLE} + {ROUGH} * (r.fault = 3)::INT, 'R' FROM e WHERE e.p = z.q AND e.l <> 's' AND r.fault NOT IN (1, 2)) x
+    JOIN i ON i.p = x.q QUALIFY row_number() OVER (PARTITION BY z.conv_id, i.q ORDER BY z.cost + x.cost + i.cost, z.audit || x.audit || i.audit) = 1)),
+b AS (SELECT c.conv_id, z.cost, z.audit FROM c JOIN z ON z.conv_id = c.conv_id AND z.pos = c.n AND z.q IN (0, 3) QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY z.cost, z.audit) = 1),
+l AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS nth FROM b),
+v AS (SELECT conv_id, nth, audit[nth] AS edit, length(replace(substr(audit, 1, nth), 'I', '')) AS pos FROM l),
+u AS (SELECT v.conv_id, v.nth, v.edit, CASE WHEN v.edit = 'I' THEN '' ELSE r.role END AS role, CASE WHEN v.edit = 'I' THEN '' ELSE r.text END AS text, coalesce(v.edit = 'K' AND r.letter = 's', false) AS first FROM v LEFT JOIN r ON r.conv_id = v.conv_id AND r.pos = v.pos WHERE v.edit <> 'D'),
+y AS (SELECT conv_id, nth, CASE WHEN edit = 'K' THEN role WHEN sum((NOT first)::INT) OVER (PARTITION BY conv_id ORDER BY nth) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text AS line FROM u),
+h AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY nth) AS lines FROM y GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c USING (conv_id) LEFT JOIN b USING (conv_id) LEFT JOIN h USING (conv_id)"""
+
+
+#: For conversations with an id and turns that differ, as in the given tables.
+SQL = _sql()

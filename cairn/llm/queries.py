@@ -20,4 +20,4 @@ QUERIES = {
     "op12_conversation_repair": lambda spark, d: conversations.repair(table(spark, d, "conversations")),
     "op13_repeated_phrases": lambda spark, d: repeated_phrases.phrase_digests(table(spark, d, "documents")),
 }
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op10_exact_dedup": exact_dedup.SQL, "op11_spelling_variants": spelling.SQL, "op12_conversation_repair": conversations.SQL, "op13_repeated_phrases": repeated_phrases.SQL}

@@ -316,3 +316,15 @@ def phrase_dedup(docs: DataFrame) -> DataFrame:
 
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     return _judged(docs, whole).select("row", "bytes", "later", "spans").mapInArrow(run, docs.schema)
+
+
+#: The contract's columns in SQL, for documents with different ids.
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 19), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+f AS (SELECT h, min(row(doc_id, i)) AS first FROM p GROUP BY 1 HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM p JOIN f USING (h) WHERE row(doc_id, i) > first),
+s AS (SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.k) AS kept, count(*) AS n FROM n ANTI JOIN g ON g.doc_id = n.doc_id AND g.k = n.k GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""

