@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.guards import col, finite, is_float, is_numeric, same_family
+from cairn.functions.guards import col, finite, is_float, is_numeric, kind_of, same_family
 from cairn.functions.text import name_similarity, normal_name
 from cairn.operators.analytics import pair_overlaps
 from cairn.operators.ranks import distinct_counts
@@ -36,6 +36,33 @@ def role(name: str, kind: T.DataType, unique_ratio: float) -> str:
     return "descriptive"
 
 
+#: Share of different values from which a column counts as an identifier, and labels up to which it describes.
+UNIQUE, LABELS = 0.8, 20
+
+
+def column_roles(df: DataFrame, referring: set[str] = frozenset()) -> DataFrame:
+    """column_name, roles (comma-joined, in this order): identifier, temporal, descriptive, measure, degenerate_dimension.
+
+    A column may have several roles. It is an identifier by its name or by its
+    different values; a key by its name that is in no reference (``referring``:
+    the columns that are) is a degenerate dimension. One row a column, from
+    exact counts over all rows.
+    """
+    facts = []
+    for c in df.columns:
+        kind = kind_of(df, c)
+        facts.append(F.struct(
+            F.lit(c).alias("column_name"), F.lit(normal_name(c).endswith(("id", "key", "code"))).alias("key"), F.lit(isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))).alias("time"),
+            F.lit(is_numeric(kind)).alias("number"), F.lit(isinstance(kind, T.StringType)).alias("text"), F.lit(isinstance(kind, T.BooleanType)).alias("flag"), F.lit(c in referring).alias("refers"),
+        ))
+    stats = key_statistics(df)
+    named = stats.join(F.broadcast(df.sparkSession.range(1).select(F.inline(F.array(*facts)))), "column_name")  # one row a column
+    identifier = F.col("key") | (F.coalesce("unique_ratio", F.lit(0.0)) >= UNIQUE)
+    descriptive = ((F.col("text") | F.col("flag")) & (F.col("n_distinct") <= LABELS)) | (F.col("text") & ~identifier)
+    roles = {"identifier": identifier, "temporal": F.col("time"), "descriptive": descriptive, "measure": F.col("number") & ~F.col("key"), "degenerate_dimension": F.col("key") & ~F.col("refers")}
+    return named.select("column_name", F.concat_ws(",", *[F.when(on, r) for r, on in roles.items()]).alias("roles"))
+
+
 # What a reference's score is made of, and the scores from which it counts as high or medium.
 WEIGHTS = {"name": 0.3, "type": 0.2, "key": 0.2, "coverage": 0.15, "overlap": 0.05, "not_null": 0.1}
 HIGH, MEDIUM, COVERED, SIMILAR = 0.85, 0.65, 0.9, 0.8

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import output_text
-from cairn.operators import analytics, backtests, bundles, rowsets, splits
+from cairn.operators import analytics, backtests, bundles, corpus, rowsets, schema, splits
 from cairn.operators.analytics import Metric
 from cairn.plans.catalog import Tables, query, rounded
 from cairn.sources import sealed, typed
@@ -229,3 +229,39 @@ def bundle_shards(t: Tables) -> DataFrame:
     if bundles.bundle_faults(t.spark, path):
         raise ValueError("the bundle has changed")
     return t.spark.createDataFrame([(s["shard"], s["n_records"], s["n_bytes"], s["sha256"]) for s in manifest["shards"]], "shard long, n_records long, n_bytes long, sha256 string")
+
+
+# roles of columns, and corpora under review
+
+_ROLES = [("o_orderkey", "key"), ("o_custkey", "key"), ("o_orderstatus", "text"), ("o_totalprice", "number"), ("o_orderdate", "time"), ("o_orderpriority", "text")]
+_ROLE_SQL = {
+    "key": "concat_ws(',', 'identifier', CASE WHEN NOT refers THEN 'degenerate_dimension' END)",
+    "text": "concat_ws(',', CASE WHEN u >= 0.8 THEN 'identifier' END, CASE WHEN d <= 20 OR u < 0.8 THEN 'descriptive' END)",
+    "number": "concat_ws(',', CASE WHEN u >= 0.8 THEN 'identifier' END, 'measure')",
+    "time": "concat_ws(',', CASE WHEN u >= 0.8 THEN 'identifier' END, 'temporal')",
+}
+
+
+@query("schema_column_roles", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_ROLE_SQL[k]} AS roles FROM (SELECT count(DISTINCT {c}) AS d, count(DISTINCT {c}) / count({c}) AS u, {'true' if c == 'o_custkey' else 'false'} AS refers FROM orders)" for c, k in _ROLES))
+def schema_roles(t: Tables) -> DataFrame:
+    return schema.column_roles(t.orders.select(*[c for c, _ in _ROLES]), {"o_custkey"})
+
+
+_STATE = "CASE o_custkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'pending' WHEN 2 THEN 'approved' ELSE 'rejected' END"
+_NEXT = "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'draft' END"
+_SPLIT = "CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END"
+
+
+@query("gov_approved_export", f"SELECT o_orderkey, {_SPLIT} AS split FROM orders WHERE {_STATE} = 'approved'")
+def gov_approved(t: Tables) -> DataFrame:
+    return corpus.approved(t.orders.selectExpr("o_orderkey", f"{_STATE} AS state", f"{_SPLIT} AS split"), "state", "split").select("o_orderkey", "split")
+
+
+@query("gov_invalid_moves", f"SELECT o_orderkey FROM (SELECT o_orderkey, {_STATE} AS a, {_NEXT} AS b FROM orders) WHERE a <> b AND a || '>' || b NOT IN ('draft>pending', 'pending>approved', 'pending>rejected', 'rejected>draft')")
+def gov_moves(t: Tables) -> DataFrame:
+    return corpus.invalid_moves(t.orders.selectExpr("o_orderkey", f"{_STATE} AS a", f"{_NEXT} AS b"), "a", "b").select("o_orderkey")
+
+
+@query("gov_corpus_report", f"SELECT {_SPLIT} AS split, o_orderpriority AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY {_SPLIT}), 6) AS share FROM orders GROUP BY 1, 2")
+def gov_report(t: Tables) -> DataFrame:
+    return rounded(corpus.split_counts(t.orders.selectExpr(f"{_SPLIT} AS split", "o_orderpriority"), "split", "o_orderpriority"), 6)

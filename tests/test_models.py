@@ -89,3 +89,10 @@ def test_too_many_query_bytes(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a long text of words")], "id long, t string")
     with pytest.raises(ValueError, match="bytes"):
         corpus.similar_texts(df, df, "id", "t")
+
+
+def test_roles_of_columns(spark):
+    df = spark.createDataFrame([(i, i % 3, f"n{i}", "ab"[i % 2], i / 2, bool(i % 2)) for i in range(40)], "sale_id long, shop_key long, name string, kind string, amount double, done boolean").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {r.column_name: r.roles for r in schema.column_roles(df, {"shop_key"}).collect()}
+    assert got == {"sale_id": "identifier,degenerate_dimension", "shop_key": "identifier", "name": "identifier", "kind": "descriptive", "amount": "identifier,measure", "done": "descriptive", "day": "temporal"}
+    assert {r.roles for r in schema.column_roles(df.limit(0).select("kind")).collect()} == {"descriptive"}
