@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.guards import col, is_float
+from cairn.sources.shared import settled
 
 #: Rows of a stretch, rows of a file (which bounds its bytes), and files whose digests are put together at once.
 CHUNK, ROWS, TOGETHER = 1 << 14, 1 << 20, 1 << 12
@@ -34,7 +35,7 @@ def _canonical(df: DataFrame) -> list:
     """Every column as text that tells its value, null from empty, and -0.0 from nothing."""
     out = []
     for f in df.schema.fields:
-        c = col(f.name)
+        c = none = col(f.name)
         if is_float(f.dataType):
             c = F.when(F.isnan(c), "NaN").otherwise((c + F.lit(0.0)).cast("string"))
         elif isinstance(f.dataType, T.BinaryType):
@@ -43,7 +44,7 @@ def _canonical(df: DataFrame) -> list:
             c = F.to_json(F.struct(c.alias("v")))
         else:
             c = c.cast("string")
-        out.append(F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(c).cast("string"), F.lit(":"), c)))
+        out.append(F.when(none.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(c).cast("string"), F.lit(":"), c)))
     return out
 
 
@@ -52,39 +53,71 @@ def row_hash(df: DataFrame):
     return F.sha2(F.concat_ws("", *_canonical(df)) if df.columns else F.lit(""), 256)
 
 
-def content_key(df: DataFrame) -> str:
-    """SHA-256 of the schema, the number of rows and sums of both halves of the row hashes: the same for any order and any files."""
-    h = row_hash(df)
-    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
-    one = df.agg(F.count(F.lit(1)).cast("string"), half(1), half(16), half(31), half(46)).first()
+#: Hex digits of a row hash that are summed as one number, and where such numbers begin; each is summed as two halves, which longs hold for 2^33 rows.
+_DIGITS, _BEGINS, _HALF = 15, (1, 16, 31, 46), 30
+
+
+def _sums(h) -> list:
+    """n and the two halves' sums of each part of the row hashes."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for i, at in enumerate(_BEGINS):
+        part = F.conv(F.substring(h, at, _DIGITS), 16, 10).cast("long")
+        out += [F.sum(F.shiftright(part, _HALF)).alias(f"high{i}"), F.sum(part.bitwiseAND(F.lit((1 << _HALF) - 1))).alias(f"low{i}")]
+    return out
+
+
+def _key(df: DataFrame, sums) -> str:
+    parts = [str(((sums[f"high{i}"] or 0) << _HALF) + (sums[f"low{i}"] or 0)) for i in range(len(_BEGINS))]
     names = json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
-    return hashlib.sha256("\n".join([names, *one]).encode()).hexdigest()
+    return hashlib.sha256("\n".join([names, str(sums["n"] or 0), *parts]).encode()).hexdigest()
 
 
-def ordered_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the rows of Parquet files in the order of files and of rows within them.
+def _hashed(df: DataFrame, *others) -> DataFrame:
+    """The row hash as a column h, so that it is made once a row however often it is used."""
+    return df.select(*others, row_hash(df).alias("h")).where("h is not null")
 
-    It changes when two rows swap, and not with the number of tasks or with
-    where one file ends and the next begins.
-    """
+
+def content_key(df: DataFrame) -> str:
+    """SHA-256 of the schema, the number of rows and sums of parts of the row hashes: the same for any order and any files."""
+    return _key(df, _hashed(df).agg(*_sums(F.col("h"))).first())
+
+
+def _stretches(spark: SparkSession, path: str) -> DataFrame:
+    """at, h, and the sums of content_key for every stretch of CHUNK rows of Parquet files, written once."""
     df = spark.read.parquet(path)
-    if df.isEmpty():
-        return hashlib.sha256(b"").hexdigest()
-    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.unhex(row_hash(df)).alias("h"))
+    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
     # one row a file
-    starts = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    starts = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
-    place = F.col("start") + F.col("at")
-    level = rows.join(starts, "file").select(place.alias("at"), "h")
-    width = CHUNK
+    rows = _hashed(df, file, at).join(F.broadcast(starts), "file").select((F.col("start") + F.col("at")).alias("at"), "h")
+    return settled(rows.groupBy(F.floor(F.col("at") / CHUNK).alias("at")).agg(_together(F.col("h")), *_sums(F.col("h"))))
+
+
+def _together(h):
+    """The digest of the hashes (hex) of a group in their order."""
+    inside = F.array_sort(F.collect_list(F.struct(F.col("at"), h.alias("h"))))
+    return F.sha2(F.unhex(F.array_join(inside["h"], "")), 256).alias("h")
+
+
+def _ordered(level: DataFrame) -> str:
+    """The digest over the digests of stretches."""
+    if level.isEmpty():
+        return hashlib.sha256(b"").hexdigest()
+    level = level.select("at", "h")
     while True:
-        inside = F.array_sort(F.collect_list(F.struct("at", "h")))
-        whole = F.aggregate(inside, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["h"]))
-        level = level.groupBy(F.floor(F.col("at") / width).alias("at")).agg(F.unhex(F.sha2(whole, 256)).alias("h"))
-        width = TOGETHER
         found = level.limit(2).collect()
         if len(found) == 1:
-            return found[0].h.hex()
+            return found[0].h
+        level = level.groupBy(F.floor(F.col("at") / TOGETHER).alias("at")).agg(_together(F.col("h")))
+
+
+def ordered_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the rows of Parquet files in the order of files and of rows within them.
+
+    It changes when two rows swap, and not with the number of tasks or with
+    where one file ends and the next begins.
+    """
+    return _ordered(_stretches(spark, path))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -171,10 +204,12 @@ def write_sealed(df: DataFrame, root: str) -> tuple[str, dict]:
     try:
         df.write.option("maxRecordsPerFile", ROWS).option("compression", "snappy").parquet(staging)
         back = spark.read.parquet(staging)
-        if back.dtypes != df.dtypes or content_key(back) != key:
+        stretches = _stretches(spark, staging)  # read and hashed once for both digests
+        total = stretches.agg(*[F.sum(c).alias(c) for c in stretches.columns if c not in ("at", "h")]).first()
+        if back.dtypes != df.dtypes or _key(back, total) != key:
             raise SealError(f"{staging!r} does not hold the rows that were given")
         found = _files(spark, staging).orderBy("name").collect()  # one row a file
-        manifest = {"key": key, "columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields], "rows": sum(r.n_rows for r in found), "ordered": ordered_digest(spark, staging), "files": [r.asDict() for r in found]}
+        manifest = {"key": key, "columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields], "rows": sum(r.n_rows for r in found), "ordered": _ordered(stretches), "files": [r.asDict() for r in found]}
         write_json_file(spark, f"{staging}/{_MANIFEST}", manifest)
         if not fs.rename(at, to):
             if not fs.exists(to):

@@ -80,3 +80,23 @@ def test_refused(spark, tmp_path, fault, says):
 def test_empty_table(spark, tmp_path):
     path, manifest = sealed.write_sealed(table(spark).where("id < 0"), str(tmp_path / "store"))
     assert manifest["rows"] == 0 and sealed.read_sealed(spark, path).count() == 0
+
+
+def test_rows_are_hashed_once_a_copy(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(sealed, "CHUNK", 16)
+    monkeypatch.setattr(sealed, "TOGETHER", 4)
+    calls, row_hash = [], sealed.row_hash
+    monkeypatch.setattr(sealed, "row_hash", lambda df: calls.append(df) or row_hash(df))
+    df = table(spark).coalesce(1).sortWithinPartitions("id")
+    path, manifest = sealed.write_sealed(df, str(tmp_path / "store"))
+    assert len(calls) == 2  # what is given and what was stored; both digests of the latter come from one pass
+    hashes = [r.h for r in df.select(row_hash(df).alias("h")).collect()]
+    level, width = [bytes.fromhex(h) for h in hashes], 16
+    while len(level) > 1:
+        level, width = [hashlib.sha256(b"".join(level[i : i + width])).digest() for i in range(0, len(level), width)], 4
+    assert manifest["ordered"] == level[0].hex() == sealed.ordered_digest(spark, path)
+    sums = [sum(int(h[i : i + 15], 16) for h in hashes) for i in (0, 15, 30, 45)]
+    names = sealed.json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
+    assert manifest["key"] == hashlib.sha256("\n".join([names, "500", *map(str, sums)]).encode()).hexdigest()
