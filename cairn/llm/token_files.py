@@ -182,8 +182,18 @@ def _expansions(left: np.ndarray, right: np.ndarray, size: np.ndarray, base: int
 
 
 def _packed(symbols: np.ndarray, bits: int) -> bytes:
-    wide = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(wide[:, 32 - bits :]).tobytes()
+    # eight symbols fill as many bytes as a symbol has bits, and each of these takes parts of few symbols
+    eight = np.zeros((-(-len(symbols) // 8), 8), np.uint32)
+    eight.reshape(-1)[: len(symbols)] = symbols
+    eight = np.ascontiguousarray(eight.T)
+    out = np.zeros((eight.shape[1], bits), np.uint8)
+    for k in range(bits):
+        byte = np.zeros(eight.shape[1], np.uint32)
+        for nth in range(8 * k // bits, (8 * k + 7) // bits + 1):
+            shift = (nth + 1) * bits - 8 * k - 8
+            byte |= eight[nth] >> np.uint32(shift) if shift >= 0 else eight[nth] << np.uint32(-shift)
+        out[:, k] = byte  # the last eight bits of it
+    return out.tobytes()[: -(-len(symbols) * bits // 8)]
 
 
 def _unpacked(data: np.ndarray, bits: int, begin: int, end: int) -> np.ndarray:

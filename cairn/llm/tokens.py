@@ -25,6 +25,25 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _lower(text: str) -> str:
+    """The text in lower case where that is what the tokenizer makes of it: in Latin-1, which has no letters that compose or change their number."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+class _Ids(dict):
+    """The ids of chunks; those asked for without being known are None and stand in new."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.new.add(chunk)
+
+
 class WordEncoder:
     """encode(text) gives the ids of the tokenizers library as little-endian unsigned 32-bit bytes.
 
@@ -44,7 +63,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Ids()
         self.apart: dict[str, bool] = {}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -98,24 +117,23 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         for at in range(0, len(texts), TEXTS):
-            later, get = [], self.ids.__getitem__
+            split, get = [], self.ids.__getitem__
             for i in range(at, min(at + TEXTS, len(texts))):
-                if any(x in texts[i] for x in _WHOLE):
+                text = _lower(texts[i])
+                if any(x in text for x in _WHOLE):
                     out[i] = self._library([texts[i]])[0]
-                    continue
-                words = texts[i].split()
-                try:
-                    out[i] = b"".join(map(get, words))
-                except KeyError:
-                    later.append((i, words))
-            new = set().union(*(w for _, w in later)).difference(self.ids)
+                else:
+                    words = text.split()
+                    split.append((i, words, list(map(get, words))))
+            new, self.ids.new = self.ids.new, set()
             if len(self.ids) + len(new) > REMEMBERED:
                 self.ids.clear()
-                new = set().union(*(w for _, w in later))
             if new:
                 self._learn(new)
-            for i, words in later:
-                out[i] = b"".join(map(self.ids.__getitem__, words))
+            for i, words, parts in split:
+                if None in parts:
+                    parts = [get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+                out[i] = b"".join(parts)
         return out
 
 

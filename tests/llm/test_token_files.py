@@ -69,3 +69,13 @@ def test_rows_without_or_with_repeated_ids(spark, library):
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert order == [None, None, -2, 5, 5, 5, 9]
     assert token_files.token_files(docs.limit(0)).collect() == []
+
+
+def test_case_is_folded_before_words_are_learned(library):
+    encoder = tokens.WordEncoder(tokens.tokenizer_file())
+    texts = ["Word WORD. word", "Élan ÉLAN, élan ÄÖÜ ß ÿ µ", "a <|STARTOFTEXT|> b<|EndOfText|>c", "".join(map(chr, range(1, 256))), " ".join(map(chr, range(1, 256))), "x\x85Y\xa0Z", "ΣΑΣ İ Word"]
+    for text, got in zip(texts, encoder.encode_all(texts), strict=True):
+        assert got == encoded(library, text).tobytes(), ascii(text)
+    again = tokens.WordEncoder(tokens.tokenizer_file())
+    again.encode_all(texts[:2])
+    assert not any(c != c.lower() for c in again.ids)
