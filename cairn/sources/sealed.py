@@ -14,6 +14,7 @@ import hashlib
 import json
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,66 +32,117 @@ class SealError(ValueError):
     """What is stored is not what it should be."""
 
 
-def _canonical(df: DataFrame) -> list:
-    """Every column as text that tells its value, null from empty, and -0.0 from nothing."""
+def _texts(df: DataFrame) -> list:
+    """Every column as text that tells its value, and -0.0 as 0.0; null stays null."""
     out = []
     for f in df.schema.fields:
-        c = none = col(f.name)
+        c = col(f.name)
         if is_float(f.dataType):
             c = F.when(F.isnan(c), "NaN").otherwise((c + F.lit(0.0)).cast("string"))
         elif isinstance(f.dataType, T.BinaryType):
             c = F.hex(c)
         elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            c = F.to_json(F.struct(c.alias("v")))
+            c = F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
         else:
             c = c.cast("string")
-        out.append(F.when(none.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(c).cast("string"), F.lit(":"), c)))
+        out.append(c)
     return out
 
 
 def row_hash(df: DataFrame):
-    """SHA-256 (hex) of a row's values and places."""
-    return F.sha2(F.concat_ws("", *_canonical(df)) if df.columns else F.lit(""), 256)
+    """SHA-256 (hex) of a row's values and places, which tells null from empty; columns that are texts of values already give the same."""
+    texts = [F.coalesce(F.concat(F.lit("v"), F.char_length(c).cast("string"), F.lit(":"), c), F.lit("n")) for c in _texts(df)]
+    return F.sha2(F.concat(*texts) if texts else F.lit(""), 256)
 
 
-#: Hex digits of a row hash that are summed as one number, and where such numbers begin; each is summed as two halves, which longs hold for 2^33 rows.
-_DIGITS, _BEGINS, _HALF = 15, (1, 16, 31, 46), 30
+def _hashed(df: DataFrame, **others) -> DataFrame:
+    """The row hash as bytes h beside others. A value is made text once, though its length stands before it, and nothing is asked of h, as a filter would make it anew."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    texts = df.select(*[c.alias(n) for n, c in others.items()], *[c.alias(n) for n, c in zip(names, _texts(df), strict=True)])
+    return texts.select(*others, F.unhex(row_hash(texts.select(*names))).alias("h"))
 
 
-def _sums(h) -> list:
-    """n and the two halves' sums of each part of the row hashes."""
-    out = [F.count(F.lit(1)).alias("n")]
-    for i, at in enumerate(_BEGINS):
-        part = F.conv(F.substring(h, at, _DIGITS), 16, 10).cast("long")
-        out += [F.sum(F.shiftright(part, _HALF)).alias(f"high{i}"), F.sum(part.bitwiseAND(F.lit((1 << _HALF) - 1))).alias(f"low{i}")]
-    return out
+#: Of a row hash 15 hex digits at a time are summed as one number: the first of eight bytes that hold them, and bits of these that follow. Each is summed as two halves, which longs hold for 2^33 rows.
+_PARTS, _HALF = ((0, 4), (7, 0), (15, 4), (22, 0)), 30
+_SUMS = ["n", *(f"{half}{i}" for i in range(len(_PARTS)) for half in ("high", "low"))]
+
+
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """The number of hashes (rows of 32 bytes) and the two halves' sums of each part of them."""
+    out = [len(hashes)]
+    for at, behind in _PARTS:
+        part = np.ascontiguousarray(hashes[:, at : at + 8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(behind)
+        out += [(part >> np.uint64(_HALF) & np.uint64((1 << _HALF) - 1)).sum(), (part & np.uint64((1 << _HALF) - 1)).sum()]
+    return np.array(out, np.int64)
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """The hashes of a batch as rows of 32 bytes."""
+    fixed = column.cast(pa.binary(32))
+    return np.frombuffer(fixed.buffers()[1], np.uint8, 32 * len(fixed), 32 * fixed.offset).reshape(-1, 32) if len(fixed) else np.zeros((0, 32), np.uint8)
+
+
+def _summed(batches):
+    total = np.zeros(len(_SUMS), np.int64)
+    for batch in batches:
+        total += _sums(_bytes_of(batch.column(0)))
+    yield pa.record_batch([pa.array([x]) for x in total], names=_SUMS)
+
+
+def _digested(chunk: int):
+    """at, h and sums of each stretch of rows that come in order, a stretch whole in one task."""
+
+    def run(batches):
+        now, digest, total = None, None, None
+
+        def row():
+            return pa.record_batch([pa.array([now], pa.int64()), pa.array([digest.hexdigest()]), *(pa.array([x]) for x in total)], names=["at", "h", *_SUMS])
+
+        for batch in batches:
+            stretch, hashes = batch.column(0).to_numpy() // chunk, _bytes_of(batch.column(1))
+            for some in np.split(np.arange(len(stretch)), np.flatnonzero(np.diff(stretch)) + 1):
+                if not len(some):
+                    continue
+                if stretch[some[0]] != now:
+                    if now is not None:
+                        yield row()
+                    now, digest, total = int(stretch[some[0]]), hashlib.sha256(), np.zeros(len(_SUMS), np.int64)
+                digest.update(hashes[some[0] : some[-1] + 1])
+                total += _sums(hashes[some[0] : some[-1] + 1])
+        if now is not None:
+            yield row()
+
+    return run
+
+
+_SUM_TYPES = ", ".join(f"{n} long" for n in _SUMS)
 
 
 def _key(df: DataFrame, sums) -> str:
-    parts = [str(((sums[f"high{i}"] or 0) << _HALF) + (sums[f"low{i}"] or 0)) for i in range(len(_BEGINS))]
+    parts = [str(((sums[f"high{i}"] or 0) << _HALF) + (sums[f"low{i}"] or 0)) for i in range(len(_PARTS))]
     names = json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
     return hashlib.sha256("\n".join([names, str(sums["n"] or 0), *parts]).encode()).hexdigest()
 
 
-def _hashed(df: DataFrame, *others) -> DataFrame:
-    """The row hash as a column h, so that it is made once a row however often it is used."""
-    return df.select(*others, row_hash(df).alias("h")).where("h is not null")
+def _total(sums: DataFrame):
+    return sums.agg(*[F.sum(c).alias(c) for c in _SUMS]).first()
 
 
 def content_key(df: DataFrame) -> str:
     """SHA-256 of the schema, the number of rows and sums of parts of the row hashes: the same for any order and any files."""
-    return _key(df, _hashed(df).agg(*_sums(F.col("h"))).first())
+    return _key(df, _total(_hashed(df).mapInArrow(_summed, _SUM_TYPES)))
 
 
 def _stretches(spark: SparkSession, path: str) -> DataFrame:
     """at, h, and the sums of content_key for every stretch of CHUNK rows of Parquet files, written once."""
     df = spark.read.parquet(path)
-    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     # one row a file
-    starts = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    starts = df.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
-    rows = _hashed(df, file, at).join(F.broadcast(starts), "file").select((F.col("start") + F.col("at")).alias("at"), "h")
-    return settled(rows.groupBy(F.floor(F.col("at") / CHUNK).alias("at")).agg(_together(F.col("h")), *_sums(F.col("h"))))
+    rows = _hashed(df, file=file, at=at).join(F.broadcast(starts), "file").select((F.col("start") + F.col("at")).alias("at"), "h")
+    ordered = rows.repartition(F.floor(F.col("at") / CHUNK)).sortWithinPartitions("at")
+    return settled(ordered.mapInArrow(_digested(CHUNK), f"at long, h string, {_SUM_TYPES}"))
 
 
 def _together(h):
@@ -205,8 +257,7 @@ def write_sealed(df: DataFrame, root: str) -> tuple[str, dict]:
         df.write.option("maxRecordsPerFile", ROWS).option("compression", "snappy").parquet(staging)
         back = spark.read.parquet(staging)
         stretches = _stretches(spark, staging)  # read and hashed once for both digests
-        total = stretches.agg(*[F.sum(c).alias(c) for c in stretches.columns if c not in ("at", "h")]).first()
-        if back.dtypes != df.dtypes or _key(back, total) != key:
+        if back.dtypes != df.dtypes or _key(back, _total(stretches)) != key:
             raise SealError(f"{staging!r} does not hold the rows that were given")
         found = _files(spark, staging).orderBy("name").collect()  # one row a file
         manifest = {"key": key, "columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields], "rows": sum(r.n_rows for r in found), "ordered": _ordered(stretches), "files": [r.asDict() for r in found]}

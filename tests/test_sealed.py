@@ -100,3 +100,22 @@ def test_rows_are_hashed_once_a_copy(spark, tmp_path, monkeypatch):
     sums = [sum(int(h[i : i + 15], 16) for h in hashes) for i in (0, 15, 30, 45)]
     names = sealed.json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
     assert manifest["key"] == hashlib.sha256("\n".join([names, "500", *map(str, sums)]).encode()).hexdigest()
+
+
+def test_row_hash_is_made_once_a_row(spark):
+    plan = sealed._hashed(spark.range(5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sha2(") == 1 and plan.count("cast(id#") == 1
+
+
+def test_row_hash_of_odd_values(spark):
+    import hashlib
+
+    nested = "s struct<a: int, b: string>, l array<int>"
+    rows = [(-0.0, "", b"\x00\xff", (1, None), [1, None], "ü€"), (float("nan"), None, None, None, None, None), (None, "n", b"", (None, None), [], "v1:n")]
+    df = spark.createDataFrame(rows, f"x double, t string, b binary, {nested}, `_0` string").coalesce(1)
+    texts = [["0.0", "", "00FF", '{"v":{"a":1}}', '{"v":[1,null]}', "ü€"], ["NaN", None, None, None, None, None], [None, "n", "", '{"v":{}}', '{"v":[]}', "v1:n"]]
+    want = [hashlib.sha256("".join("n" if t is None else f"v{len(t)}:{t}" for t in row).encode()).digest() for row in texts]
+    assert [bytes(r.h) for r in sealed._hashed(df).collect()] == want
+    sums = [sum(int(h.hex()[i : i + 15], 16) for h in want) for i in (0, 15, 30, 45)]
+    names = sealed.json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
+    assert sealed.content_key(df) == hashlib.sha256("\n".join([names, "3", *map(str, sums)]).encode()).hexdigest()
