@@ -68,8 +68,8 @@ def _pack(path: str, capacity: int):
             return batch
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                some = batch.slice(begin, 512)
+            for begin in range(0, batch.num_rows, 4096):
+                some = batch.slice(begin, 4096)
                 for doc_id, data in zip(some.column(0).to_pylist(), word_encoder(path).encode_all(some.column(1).to_pylist()), strict=True):
                     data += end
                     at, n = 0, len(data) // 4

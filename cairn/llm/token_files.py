@@ -278,8 +278,8 @@ def _writer(path: str):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
                 ids = some.column(0).to_pylist()
                 for doc_id, data in zip(ids, word_encoder(path).encode_all(some.column(1).to_pylist()), strict=True):
                     if held and n + len(data) + 4 > 4 * SHARD:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 1_200_000
-#: Texts between two looks for new words, and words that go to the library as one text.
-TEXTS = 256
+#: Characters of the texts whose chunks are looked up together, and words that go to the library as one text.
+CHARACTERS = 1 << 23
 TOGETHER = 256
 #: Characters that the tokenizer's pattern splits off a preceding letter, unless lower case or composition makes that letter end in a mark.
 TAIL = '.,!?;:%*&$#"()[]{}-_/+=@^~|'
@@ -34,22 +36,14 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
-class _Ids(dict):
-    """The ids of chunks; those asked for without being known are None and stand in new."""
-
-    def __init__(self):
-        self.new: set[str] = set()
-
-    def __missing__(self, chunk: str) -> None:
-        self.new.add(chunk)
-
-
 class WordEncoder:
     """encode(text) gives the ids of the tokenizers library as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and its merges never cross it, so the ids
     of a text are those of its chunks between white space, one after the other.
-    The library encodes each chunk once and a dictionary keeps its ids. Many
+    The library encodes each chunk once and a dictionary keeps its ids; it is
+    asked once for each different chunk of some texts, whose ids are then
+    gathered together. Many
     new words go to it in one call: a word of letters is one piece of the
     tokenizer's pattern, so its ids end at the first id of a word's end.
     Punctuation behind a word is encoded apart only if the library itself,
@@ -63,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids = _Ids()
+        self.ids: dict[str, bytes] = {}
         self.apart: dict[str, bool] = {}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -114,26 +108,43 @@ class WordEncoder:
         ids.update(zip(plain, map(ids.__getitem__, folded), strict=True))
         ids.update(zip(ready, map(add, map(ids.__getitem__, cores), map(ids.__getitem__, tails)), strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(texts), TEXTS):
-            split, get = [], self.ids.__getitem__
-            for i in range(at, min(at + TEXTS, len(texts))):
-                text = _lower(texts[i])
-                if any(x in text for x in _WHOLE):
-                    out[i] = self._library([texts[i]])[0]
-                else:
-                    words = text.split()
-                    split.append((i, words, list(map(get, words))))
-            new, self.ids.new = self.ids.new, set()
+    def _parts(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some different chunks."""
+        parts = list(map(self.ids.get, chunks))
+        if new := {c for c, p in zip(chunks, parts, strict=True) if p is None}:
             if len(self.ids) + len(new) > REMEMBERED:
                 self.ids.clear()
-            if new:
-                self._learn(new)
-            for i, words, parts in split:
-                if None in parts:
-                    parts = [get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-                out[i] = b"".join(parts)
+            self._learn(new)
+            parts = [self.ids[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
+        return parts
+
+    def _gathered(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special strings."""
+        words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = words.values.dictionary_encode()
+        parts = self._parts(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        whole = pa.array(parts, pa.large_binary()).take(chunks.indices)
+        ends, ids = np.frombuffer(whole.buffers()[1], np.int64), memoryview(whole.buffers()[2] or b"")
+        stops = ends[words.offsets.to_numpy()].tolist()
+        return [bytes(ids[begin:stop]) for begin, stop in zip(stops[:-1], stops[1:], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        some: dict[int, str] = {}
+        held = 0
+        for i, text in enumerate(map(_lower, texts)):
+            if any(x in text for x in _WHOLE):
+                out[i] = self._library([texts[i]])[0]
+                continue
+            if held and held + len(text) > CHARACTERS:
+                for at, ids in zip(some, self._gathered(list(some.values())), strict=True):
+                    out[at] = ids
+                some, held = {}, 0
+            some[i] = text
+            held += len(text)
+        if some:
+            for at, ids in zip(some, self._gathered(list(some.values())), strict=True):
+                out[at] = ids
         return out
 
 

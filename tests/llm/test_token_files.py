@@ -79,3 +79,28 @@ def test_case_is_folded_before_words_are_learned(library):
     again = tokens.WordEncoder(tokens.tokenizer_file())
     again.encode_all(texts[:2])
     assert not any(c != c.lower() for c in again.ids)
+
+
+def test_a_chunk_is_looked_up_once_for_many_texts(library, monkeypatch):
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *a):
+            Counted.looked_up += 1
+            return super().get(*a)
+
+        def __getitem__(self, chunk):
+            Counted.looked_up += 1
+            return super().__getitem__(chunk)
+
+    encoder = tokens.WordEncoder(tokens.tokenizer_file())
+    encoder.ids = Counted()
+    texts = ["some words, some more\x85words. " * 500, "", " \n", "　words  some ", "<|endoftext|> some"] * 4
+    want = [encoded(library, t).tobytes() for t in texts]
+    assert encoder.encode_all(texts) == want and Counted.looked_up < 50
+    # groups of texts and a memory that is emptied change nothing
+    for characters, remembered in ((1, 1 << 20), (30, 2), (40_000, 3)):
+        monkeypatch.setattr(tokens, "CHARACTERS", characters)
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        assert tokens.WordEncoder(tokens.tokenizer_file()).encode_all(texts) == want
+    assert encoder.encode_all([]) == [] and encoder.encode_all(["<|endoftext|>"]) == [encoded(library, "<|endoftext|>").tobytes()]
