@@ -105,3 +105,24 @@ def test_a_chunk_is_looked_up_once_for_many_texts(library, monkeypatch):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         assert tokens.WordEncoder(tokens.tokenizer_file()).encode_all(texts) == want
     assert encoder.encode_all([]) == [] and encoder.encode_all(["<|endoftext|>"]) == [encoded(library, "<|endoftext|>").tobytes()]
+
+
+def test_a_word_is_one_chunk_whatever_follows_it(library):
+    encoder = tokens.WordEncoder(tokens.tokenizer_file())
+    texts = ["word word, word. word;word word) Word", "école, école. École;école"]
+    assert encoder.encode_all(texts) == [encoded(library, t).tobytes() for t in texts]
+    words = [c for c in encoder.ids if c.strip(tokens.TAIL)]
+    assert not any(c[-1] in tokens.TAIL for c in words) and {"word", "école"} <= set(words)
+
+
+def test_words_that_go_to_the_model_alone_have_the_ids_of_the_library(library, monkeypatch):
+    encoder = tokens.WordEncoder(tokens.tokenizer_file())
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    texts = [x + y + z for x in letters for y in letters for z in ("", ".", "'s", "́", "<Ω")]
+    texts += ["Σ <|STARTOFTEXT|>", "Ω a<|EndOfText|>b", "H̱ ẖ. a≠ a.'s x',s"]
+    for text, got in zip(texts, encoder.encode_all(texts), strict=True):
+        assert got == encoded(library, text).tobytes(), ascii(text)
+    asked = []
+    monkeypatch.setattr(encoder, "_library", lambda some: asked.extend(some) or [np.zeros(0, np.uint32)] * len(some))
+    encoder.encode_all(["anewword Anotherword, unécole ÉCOLESÀ; ."])
+    assert not any(c.isalpha() for c in asked)
